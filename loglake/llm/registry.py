@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from loglake.llm import sentencepieces
+from loglake.llm import packing, quality_rules, secrets, sentencepieces
 
 QUERIES = {
     "op2_sentencepiece": sentencepieces.query,
+    "op5_quality_rules": quality_rules.query,
+    "op9_packing": packing.query,
+    "op10_secrets": secrets.query,
 }
 ORACLES: dict[str, str] = {}

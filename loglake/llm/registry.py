@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loglake.llm import packing, quality_rules, secrets, sentencepieces
+from loglake.llm import packing, quality_model, quality_rules, secrets, sentencepieces
 
 QUERIES = {
     "op2_sentencepiece": sentencepieces.query,
     "op5_quality_rules": quality_rules.query,
+    "op7_quality_model": quality_model.query,
     "op9_packing": packing.query,
     "op10_secrets": secrets.query,
 }

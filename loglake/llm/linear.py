@@ -35,6 +35,7 @@ class Tokens:
         starts, ends = starts[:-1], starts[1:]
         solid = kind[starts] != 0 if len(starts) else np.empty(0, bool)
         starts, ends = starts[solid], ends[solid]
+        self.data, self.starts, self.ends = data, starts, ends
         self.kind = kind[starts]
         self.first = np.searchsorted(starts, off)
         self.surface = span_hashes(data, starts, ends, True)
@@ -49,6 +50,10 @@ class Tokens:
         same[self.first[:-1][self.first[:-1] < len(n)]] = False
         self.shape ^= same.astype(np.uint64) * ODD
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each run, A-Z as a-z; of all of it where it is shorter."""
+        return span_hashes(self.data, self.starts, np.minimum(self.starts + n, self.ends), True)
+
     def __len__(self) -> int:
         return len(self.surface)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loglake.llm import packing, quality_model, quality_rules, secrets, sentencepieces
+from loglake.llm import packing, quality_model, quality_rules, secrets, sentencepieces, toxicity
 
 QUERIES = {
     "op2_sentencepiece": sentencepieces.query,
     "op5_quality_rules": quality_rules.query,
     "op7_quality_model": quality_model.query,
+    "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_secrets": secrets.query,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loglake.llm import packing, quality_model, quality_rules, secrets, sentencepieces, toxicity
+from loglake.llm import language, packing, quality_model, quality_rules, secrets, sentencepieces, toxicity
 
 QUERIES = {
     "op2_sentencepiece": sentencepieces.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_language": language.query,
     "op7_quality_model": quality_model.query,
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,

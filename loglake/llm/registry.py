@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loglake.llm import language, packing, quality_model, quality_rules, secrets, sentencepieces, toxicity
+from loglake.llm import jaccard, language, packing, quality_model, quality_rules, secrets, sentencepieces, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.query,
     "op2_sentencepiece": sentencepieces.query,
     "op5_quality_rules": quality_rules.query,
     "op6_language": language.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_secrets": secrets.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": jaccard.ORACLE_SQL}

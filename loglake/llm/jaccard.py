@@ -348,6 +348,19 @@ def classes(docs: DataFrame, sim: Similarity) -> DataFrame:
     return rows.join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set")
 
 
+def representatives(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """docs with its own columns, one document of each component: the one of its smallest doc_id. Documents without an
+    id or without words stay. A doc_id on several rows counts as kept if any of them is; of its equal texts one stays."""
+    found = materialise(classes(docs, sim).select("doc_id", (F.coalesce("component_id", "doc_id") != F.col("doc_id")).alias("gone")), "classes")
+    each = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("gone").alias("gone"), F.count("*").alias("n"))
+    left = docs.join(each.where("gone").select("doc_id"), "doc_id", "left_anti")
+    again = each.where("n > 1 and not gone").select("doc_id")
+    if not again.isEmpty():
+        one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(again, "doc_id", "left_anti").unionByName(one)
+    return left.select(*docs.columns)
+
+
 CONTRACT = Similarity(4, 85, 100)
 PIPELINE = Similarity(5, 80, 100)
 

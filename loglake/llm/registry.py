@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loglake.llm import jaccard, language, packing, quality_model, quality_rules, secrets, sentencepieces, toxicity, url_filter
+from loglake.llm import jaccard, language, media, packing, quality_model, quality_rules, secrets, sentencepieces, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.query,
     "op2_sentencepiece": sentencepieces.query,
+    "op3_media": media.query,
     "op4_url_filter": url_filter.query,
     "op5_quality_rules": quality_rules.query,
     "op6_language": language.query,

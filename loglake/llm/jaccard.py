@@ -7,8 +7,9 @@ Two documents link when DEN * |intersection| >= NUM * |union| of their sets of k
 2. Sketches. For sets of a size band, shingles are dealt to m cells by their hash. A cell of the (very wide) parity sketch
    is the XOR of its shingles' 64-bit values. Each shingle that only one of two sets has changes one cell, so a distance
    in cells is at most the symmetric difference, which the similarity bounds by D = (a + b)(DEN - NUM)/(DEN + NUM).
-   By pigeonhole, of D + 1 + s cells 1 + s agree in every pair that links. s is the slack that lets a set leave out
-   cells of fewer than two shingles, on which strangers agree; a set with more than s of those emits them, too.
+   By pigeonhole, of D + 1 + s cells 1 + s agree in every pair that links, and agreeing cells hold the same shingles. The
+   slack s lets a set leave out its poor cells (fewer than RICH shingles), on which strangers agree: all of them if they
+   are at most s, else the s // 2 poorest. Either way some agreeing cell is emitted by both sets.
    Each set takes the cells that its own largest D needs: for its own band and, as the larger partner, for lower bands.
 3. Candidates. Equal cells join. Within a task equal cells are joined to their first node before anything is shuffled;
    after the shuffle a streaming pass joins what is left. A cell that a third of all documents share is thus a star,
@@ -41,6 +42,7 @@ from loglake.llm.kernels import ODD, U, Words, mix
 BLOCK_BYTES = 4 << 20
 BLOCK_SETS = 2048
 HELD_CELLS = 4 << 20
+RICH = 3  # shingles from which a cell is always emitted
 
 
 @dataclass(frozen=True)
@@ -60,16 +62,16 @@ class Similarity:
         return a * self.den // self.num
 
     def bands(self, most: int) -> np.ndarray:
-        """First sizes of the bands, up to one past `most`: each half as large again as the one before."""
+        """First sizes of the bands, up to one past `most`: each a quarter as large again as the one before."""
         out = [1]
         while out[-1] <= most:
-            out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+            out.append(max(out[-1] + 1, out[-1] * 5 // 4))
         return np.array(out, np.int64)
 
 
 def slack(d):
     """Cells beyond pigeonhole's D + 1; depends on the band alone."""
-    return np.where(d > 0, 1 + d // 16, 0)
+    return np.where(d > 0, 2 + d // 5, 0)
 
 
 def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -98,14 +100,19 @@ def cells(h: np.ndarray, first: np.ndarray, which: np.ndarray, m: np.ndarray, ne
     new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (cell[1:] != cell[:-1])]))
     value, count = np.bitwise_xor.reduceat(v, new), np.diff(np.append(new, len(v)))
     of, cell = of[new], cell[new]
-    rich = np.bincount(of[count > 1], minlength=len(which))
-    poor = need - rich > s
-    emit = (count > 1) | poor[of]
+    emit = count >= RICH
+    poor = need - np.bincount(of[emit], minlength=len(which))
     extra_of, extra_cell = [], []
-    for i in np.flatnonzero(poor).tolist():  # rare: cells without any shingle count as well
-        empty = np.setdiff1d(np.arange(need[i]), cell[of == i], assume_unique=True)
-        extra_of.append(np.full(len(empty), i))
-        extra_cell.append(empty)
+    starts = np.searchsorted(of, np.arange(len(which) + 1))
+    for i in np.flatnonzero(poor > s).tolist():  # rare
+        own = slice(starts[i], starts[i + 1])
+        empty = np.setdiff1d(np.arange(need[i]), cell[own], assume_unique=True)
+        left_out = s[i] // 2
+        extra_of.append(np.full(len(empty[left_out:]), i))
+        extra_cell.append(empty[left_out:])
+        few = np.flatnonzero(~emit[own])
+        few = few[np.argsort(count[own][few], kind="stable")][max(left_out - len(empty), 0) :]
+        emit[starts[i] + few] = True
     of, cell, value = (np.concatenate([x[emit], *y]) for x, y in ((of, extra_of), (cell, extra_cell), (value, [np.zeros(len(e), np.uint64) for e in extra_of])))
     return mix(value + mix(cell.astype(np.uint64) * ODD + band[of].astype(np.uint64))), of
 

@@ -16,8 +16,7 @@ def _ranges(df: DataFrame, order: list[str], ranges: int) -> Column:
     """The number of the order range that a row lies in. The bounds are a bounded sample's quantiles, fixed as literals,
     so that every evaluation deals rows alike; rows with equal keys lie together."""
     keys = df.select(*order)
-    sample = keys.orderBy(F.xxhash64(*order)).limit(ranges * SAMPLE_A_RANGE).collect()  # a fixed number of rows
-    sample = sorted(set(sample))
+    sample = keys.orderBy(F.xxhash64(*order)).limit(ranges * SAMPLE_A_RANGE).distinct().orderBy(*order).collect()  # a fixed number of rows
     bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
     bounds = list(dict.fromkeys(bounds))
     if not bounds:

@@ -90,7 +90,7 @@ class Ftrl:
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 3, seed: int = 7) -> Ftrl:
         mean = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         self.bias = float(np.log(mean / (1 - mean)))
-        order = np.random.default_rng(seed)
+        order, seen = np.random.default_rng(seed), 0.0
         for _ in range(epochs):
             for i in order.permutation(len(rows)).tolist():
                 at, x = rows[i]
@@ -101,6 +101,8 @@ class Ftrl:
                 now = was + g * g
                 self.z[at] += g - (np.sqrt(now) - np.sqrt(was)) / self.alpha * w
                 self.n[at] = now
+                seen += g0 * g0  # the bias is learned as well, without a penalty
+                self.bias -= self.alpha * g0 / (self.beta + seen**0.5)
         return self
 
     def logit(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -33,10 +33,10 @@ BITS = 20
 SAMPLE = 6000
 FOLDS = 3
 CATEGORIES = ("marked", "dense", "toxic")
-THRESHOLD = 0.4
+THRESHOLD = 0.5
 L1 = 0.02
 PREFIXES = (4, 5, 6)
-EVIDENCE = 20.0  # log-likelihood ratio from which a feature counts
+EVIDENCE = 40.0  # log-likelihood ratio from which a feature counts
 EPOCHS = 8
 CHAIN = 4.0  # value of an earlier probability of 1 as a feature
 SCHEMA = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", score double, toxic boolean"

@@ -42,7 +42,7 @@ def texts(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def slices(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a texts() column of at most max_bytes, or of one row that is longer: bounds what a kernel holds."""
     import numpy as np
 

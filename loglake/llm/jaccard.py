@@ -41,7 +41,7 @@ from loglake.llm.kernels import ODD, U, Words, mix
 
 BLOCK_BYTES = 4 << 20
 BLOCK_SETS = 2048
-HELD_CELLS = 4 << 20
+HELD_CELLS = 1 << 20
 RICH = 3  # shingles from which a cell is always emitted
 
 

@@ -37,7 +37,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         inverse = pow(BASE, -1, 1 << 64)
         out = []
         for b in (BASE, inverse):

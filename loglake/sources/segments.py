@@ -8,7 +8,6 @@ segments by their first frame. Files are reached through Arrow's file systems, b
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -284,5 +283,20 @@ def _replace(path: str, name: str, data: bytes) -> None:
     system.move(f"{root}/{name}.tmp", f"{root}/{name}")
 
 
-def crc_of(frame: bytes) -> int:
-    return struct.unpack("<I", frame[-4:])[0]
+def last_written(path: str) -> dict[int, float]:
+    """When each segment file was last written, in seconds since 1970."""
+    from pyarrow import fs
+
+    system, root = _open(path)
+    found = system.get_file_info(fs.FileSelector(f"{root}/segments", allow_not_found=True))
+    return {n: f.mtime_ns / 1e9 for f in found if f.is_file and (n := wire.segment_id(f.base_name)) is not None}
+
+
+def delete_segments(path: str, ids: list[int]) -> None:
+    """Deletes segment files; one that is gone already is no failure."""
+    system, root = _open(path)
+    for n in ids:
+        try:
+            system.delete_file(f"{root}/segments/{wire.segment_name(n)}")
+        except FileNotFoundError:
+            pass

@@ -7,6 +7,8 @@ once, and exactly once for sinks that are idempotent in batch_id.
 
 from __future__ import annotations
 
+import ast
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from loglake import schema as S
 from loglake.errors import DrainFailed, DrainTimeout, InvalidState
 from loglake.functions import wire
-from loglake.operators import blocks, consume, routing, segments
+from loglake.operators import blocks, consume, recovery, retention, routing, segments
 from loglake.schema import Settings
 from loglake.sources import segments as source
 
@@ -112,8 +114,8 @@ class LogPipeline:
         from loglake.operators.append import sequence
 
         self._only("running")
-        last = self.frames().where("error_code is null").agg(F.max("seq_no"), F.max("segment_id")).first()
-        start, segment = (last[0] + 1, last[1] + 1) if last[0] is not None else (0, 0)
+        found = source.list_segments(self.settings.path)
+        start, segment = self.recovered()["next_seq"], found[-1][0] + 1 if found else 0
         if block is not None:
             numbered = sequence(rows, order, name="_at")
             packed = blocks.pack(numbered.withColumn("_first", F.col("_at")), block, "_at", "payload", ("content_type", "schema_id", "_first"))
@@ -128,6 +130,48 @@ class LogPipeline:
             raise ValueError(f"a record of {most} bytes does not fit a segment of {cap}")
         source.write_log(segments.assign(log, cap, first_id=segment), self.settings.path, "append", self.settings.compression)
 
+    def recovered(self) -> dict:
+        """What a start after a crash finds: the next number, and the bytes behind the first bad frame. Files are left
+        as they are; appends go to a new segment."""
+        frames = self.frames()
+        checkpoint, _ = source.read_checkpoint(self.settings.path)
+        place = (checkpoint[0], checkpoint[1]) if checkpoint else None
+        valid = recovery.valid_prefix(frames, place)
+        following = recovery.next_seq(valid, checkpoint[2] if checkpoint else None).first()["next_seq"]
+        newest = frames.where("error_code is null").agg(F.max("seq_no")).first()[0]  # numbers behind damage stay used
+        cut = recovery.truncated_bytes(frames, place).agg(F.sum("truncated_bytes")).first()[0]
+        return {"next_seq": max(following, 0 if newest is None else newest + 1), "truncated_bytes": cut or 0}
+
+    def collect_garbage(self, now: float | None = None) -> list[int]:
+        """Deletes the segments that the retention policy gives up; returns their ids."""
+        s = self.settings
+        found = source.list_segments(s.path)
+        if not found:
+            return []
+        written = source.last_written(s.path)
+        rows = [(n, size, written[n]) for n, _, size in found]
+        table = self.spark.createDataFrame(rows, "segment_id int, bytes long, last_write double")
+        if s.retention == "time_based":
+            gone = retention.time_based(table, F.lit(time.time() if now is None else now), F.lit(s.retention_max_age_ms / 1000))
+        elif s.retention == "size_based":
+            gone = retention.size_based(table, s.retention_max_bytes)
+        else:
+            marks = [(c.name, self._watermark(c)) for c in self.consumers.values()]
+            gone = retention.consumer_gated(table, self.spark.createDataFrame(marks, "consumer string, segment_id int"))
+        ids = sorted(r["segment_id"] for r in gone.select("segment_id").collect())  # a row for each file
+        source.delete_segments(s.path, ids)
+        return ids
+
+    def _watermark(self, c: Consumer) -> int:
+        """The segment a consumer is in: of its cursor, or of the last batch its query has committed."""
+        if not c.sinks:
+            held, error = source.read_cursor(self.settings.path, c.name)
+            return held[0] if error is None else 0
+        q = self.queries.get(c.name)
+        progress = (q.lastProgress if q else None) or {}
+        ends = [ast.literal_eval(x["endOffset"]) if isinstance(x["endOffset"], str) else x["endOffset"] for x in progress.get("sources", []) if x.get("endOffset")]
+        return min((e["segment"] for e in ends), default=0)
+
     # ---- pull ----
 
     def read_next(self, consumer: str, limit: int = 1) -> list:
@@ -192,7 +236,12 @@ class LogPipeline:
             finally:
                 held.unpersist()
 
-        return reader.load().writeStream.queryName(f"{self.settings.meter}-{c.name}").foreachBatch(deliver).option("checkpointLocation", f"{self.settings.path}/checkpoints/{c.name}").trigger(processingTime=f"{self.settings.fsync_interval_ms} milliseconds").start()
+        return reader.load().writeStream.queryName(f"{self.settings.meter}-{c.name}").foreachBatch(deliver).option("checkpointLocation", f"{self.settings.path}/checkpoints/{c.name}").trigger(processingTime=self._interval()).start()
+
+    def _interval(self) -> str:
+        """How often a batch commits: batched by the interval set; none and strict as soon as there is something. A
+        record on its own is never synced: the batch is the unit of durability."""
+        return f"{self.settings.fsync_interval_ms if self.settings.durability == 'batched' else 0} milliseconds"
 
     def stop(self) -> None:
         """Drains every consumer to the tail within the time set in all, then stops; a failed one puts the log in error."""
@@ -202,12 +251,7 @@ class LogPipeline:
         failed: DrainFailed | None = None
         for name, q in self.queries.items():
             try:
-                while q.isActive and not self._drained(q):
-                    if limit and time.monotonic() > limit:
-                        raise DrainTimeout(name, self.settings.drain_timeout_ms)
-                    time.sleep(0.05)
-                if q.exception() is not None:
-                    raise DrainFailed(name, q.exception())
+                self._drain(name, q, limit)
             except DrainFailed as e:
                 failed = failed or e
             finally:
@@ -216,12 +260,23 @@ class LogPipeline:
         if failed:
             raise failed
 
-    def _drained(self, q) -> bool:
-        try:
-            q.processAllAvailable()
-        except Exception as e:  # the query's own failure
-            raise DrainFailed(q.name, e) from e
-        return True
+    def _drain(self, name: str, q, limit: float | None) -> None:
+        """Waits until the query has handled all there is, at most until the limit, which all consumers share."""
+        found: list[BaseException] = []
+
+        def wait() -> None:
+            try:
+                q.processAllAvailable()
+            except Exception as e:  # the query's own failure
+                found.append(e)
+
+        waiting = threading.Thread(target=wait, daemon=True)
+        waiting.start()
+        waiting.join(None if limit is None else max(0.0, limit - time.monotonic()))
+        if waiting.is_alive():
+            raise DrainTimeout(name, self.settings.drain_timeout_ms)
+        if found or q.exception() is not None:
+            raise DrainFailed(name, found[0] if found else q.exception())
 
     def force_stop(self) -> None:
         """Stops without draining; consumers go on from their last committed batch."""

@@ -52,7 +52,7 @@ def test_source_prunes_and_reports_corruption(spark, tmp_path):
         f.seek(-4, os.SEEK_END)
         f.write(b"\xde\xad\xbe\xef")
     with open(files[0][1], "ab") as f:
-        f.write(b"PECL\x01")
+        f.write(wire.encode_frame(b"x", 1)[:5])
     errors = {(r["segment_id"], r["error_code"]) for r in frames.where("error_code is not null").collect()}
     assert errors == {(0, "TruncatedHeader"), (6, "CrcMismatch")}
     (tmp_path / "segments" / "notes.txt").write_text("x")
@@ -105,11 +105,12 @@ def test_blocks_are_exploded_for_push_and_whole_for_pull(spark, tmp_path):
     got = Collected()
     s = Settings(str(tmp_path), fsync_interval_ms=50)
     with LogPipeline(spark, s) as p:
+        p.register_consumer("pull")
         p.register_consumer("push")
         p.add_sink("push", "s", got)
         p.start()
         p.append(rows(spark, 5).withColumn("block", F.floor(F.col("schema_id") / 3)), ["schema_id"], block="block")
-        pulled = p.read_next("pull", 9) if p.consumers.setdefault("pull", __import__("loglake.streaming.pipeline", fromlist=["Consumer"]).Consumer("pull")) else []
+        pulled = p.read_next("pull", 9)
         p.stop()
     assert got.rows == [(0, 0, b"0000"), (0, 1, b"0001"), (0, 2, b"0002"), (1, 0, b"0003"), (1, 1, b"0004")]
     assert [wire.decode_block(bytes(r["payload"])) for r in pulled] == [[b"0000", b"0001", b"0002"], [b"0003", b"0004"]]
@@ -189,3 +190,53 @@ def test_binary_and_table_agree(spark, tmp_path):
     back = spark.read.format("loglake").option("path", str(tmp_path)).load()
     key = lambda df: [tuple(r) for r in df.select("seq_no", "segment_id", F.col("byte_offset").cast("long"), "payload").orderBy("seq_no").collect()]
     assert key(back) == key(log)
+
+
+def test_garbage_collection(spark, tmp_path):
+    filled(spark, tmp_path, 20)
+    s = Settings(str(tmp_path), max_segment_bytes=96)
+    with LogPipeline(spark, s) as p:
+        p.register_consumer("slow")
+        p.register_consumer("fast")
+        p.add_sink("fast", "s", Collected())
+        p.start()
+        p.queries["fast"].processAllAvailable()
+        assert p.collect_garbage() == []  # slow has read nothing
+        assert [r["seq_no"] for r in p.read_next("slow", 7)] == list(range(7))
+        assert p.collect_garbage() == [0, 1]
+        p.stop()
+    with LogPipeline(spark, s) as p:
+        p.start()
+        assert p.collect_garbage() == []  # no consumers
+    by_size = Settings(str(tmp_path), max_segment_bytes=96, retention="size_based", retention_max_bytes=200)
+    assert LogPipeline(spark, by_size).collect_garbage() == [2, 3, 4]
+    by_age = Settings(str(tmp_path), max_segment_bytes=96, retention="time_based", retention_max_age_ms=1000)
+    assert LogPipeline(spark, by_age).collect_garbage() in ([], [5])
+    assert LogPipeline(spark, by_age).collect_garbage(now=4e9) in ([5], [])
+    assert len(source.list_segments(str(tmp_path))) == 1
+
+
+def test_recovery_after_a_cut_tail(spark, tmp_path):
+    s = filled(spark, tmp_path, 6)
+    last = source.list_segments(str(tmp_path))[-1]
+    with open(last[1], "r+b") as f:
+        f.truncate(last[2] - 3)
+    with LogPipeline(spark, s) as p:
+        assert p.recovered() == {"next_seq": 5, "truncated_bytes": 29}
+        p.start()
+        p.append(rows(spark, 2, start=50), ["schema_id"])
+        assert [r["seq_no"] for r in p.frames().where("error_code is null").orderBy("seq_no").collect()] == list(range(7))
+
+
+def test_drain_timeout(spark, tmp_path):
+    import time
+
+    from loglake.errors import DrainTimeout
+
+    filled(spark, tmp_path, 3)
+    p = LogPipeline(spark, Settings(str(tmp_path), drain_timeout_ms=300))
+    p.register_consumer("c")
+    p.add_sink("c", "s", lambda batch, batch_id: time.sleep(8))
+    p.start()
+    with pytest.raises(DrainTimeout):
+        p.stop()

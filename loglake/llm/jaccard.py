@@ -21,8 +21,8 @@ Two documents link when DEN * |intersection| >= NUM * |union| of their sets of k
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; a text with fewer than k words has its
 whole word sequence as one shingle; repeated rows (of one doc_id, too) are rows of their own with the same results per
-text; a null doc_id is the smallest id of nothing: it gets the component of the others of its class, or null; an empty
-table gives no rows; other columns do not matter.
+text; a row without a doc_id links like any other, and its component is the smallest doc_id that there is in it, or null;
+an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -40,7 +40,10 @@ from loglake.llm.components import components, forest
 from loglake.llm.kernels import ODD, U, Words, mix
 
 BLOCK_BYTES = 4 << 20
-BLOCK_SETS = 2048
+BLOCK_SETS = 1024
+BLOOM_BITS = 1 << 26
+BLOOM_HASHES = 4
+MET_SETS = 1 << 20
 HELD_CELLS = 1 << 20
 RICH = 3  # shingles from which a cell is always emitted
 
@@ -307,36 +310,64 @@ def _linked(a: np.ndarray, b: np.ndarray, sim: Similarity) -> bool:
     return common * sim.den >= sim.num * (len(a) + len(b) - common)
 
 
+def _places(f: np.ndarray) -> np.ndarray:
+    """BLOOM_HASHES places in the Bloom filter for each fingerprint, a row each."""
+    v = f.astype(np.int64).view(np.uint64)
+    return np.stack([mix(v + U(i + 1) * ODD) >> U(64 - BLOOM_BITS.bit_length() + 1) for i in range(BLOOM_HASHES)], 1).astype(np.int64)
+
+
+def _bloom(members: DataFrame) -> np.ndarray:
+    """A Bloom filter over the members' sets, a bit each: tasks emit the words they set, which are merged by or."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _places(b.column(0).to_numpy()).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    merged = members.select("set").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    got = merged.toPandas()
+    out = np.zeros(BLOOM_BITS >> 6, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def _in_bloom(bloom: np.ndarray, f: np.ndarray) -> np.ndarray:
+    at = _places(f)
+    return ((bloom[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).all(1)
+
+
 def links(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
-    """Edges (u, v) of a spanning forest of the links within groups (doc_id, set, n_shingles, component), by blocks."""
+    """Edges (u, v) of a spanning forest of the links within groups (set, n_shingles, component), by blocks. The texts
+    are read again; a Bloom filter of fixed size keeps those of other sets out of the shuffle."""
     shape = groups.groupBy("component").agg(F.sum(8 * F.col("n_shingles") + 64).alias("bytes"), F.count("*").alias("sets"))
     blocks = F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("sets") / BLOCK_SETS)).cast("int")
-    members = groups.join(shape.select("component", blocks.alias("blocks")), "component")
-    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    mine = members.withColumn("block", block).select("doc_id", "set", "component", "blocks", "block")
-    wanted = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(mine, "doc_id")
+    members = groups.select("set", "component").join(shape.select("component", blocks.alias("blocks")), "component")
+    members = materialise(members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")), "members")
+    maybe = docs.sparkSession.sparkContext.broadcast(_bloom(members))  # BLOOM_BITS bits, whatever the input
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
             text = texts(b.column(0))
             for at, to in slices(text):
                 h, first = Words(*raw(text, at, to), fold=True).shingle_sets(sim.k)
-                part = b.slice(at, to - at)
-                ok = fingerprints(h, first).view(np.int64) == part.column(1).to_numpy()
-                made = pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, 5)), made], ["set", "component", "blocks", "block", "hashes"]).filter(pa.array(ok))
-
-    sets = wanted.select("text", "set", "component", "blocks", "block").mapInArrow(take, "set long, component long, blocks int, block int, hashes binary")
+                f = fingerprints(h, first).view(np.int64)
+                fresh = [i for i in np.flatnonzero(_in_bloom(maybe.value, f)).tolist() if f[i] not in met and not met.add(f[i])]
+                if fresh:
+                    made = pa.array([h[first[i] : first[i + 1]].tobytes() for i in fresh], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(f[fresh]), made], ["set", "hashes"])
+            if len(met) > MET_SETS:
+                met.clear()
+
+    found = docs.select("text").mapInArrow(take, "set long, hashes binary").dropDuplicates(["set"])
+    sets = found.join(members, "set")
     # block b meets block c >= b in unit (b, c); one block alone is unit (0, 0)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = sets.select("component", "set", "hashes", "block", every).select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "set", "hashes")
 
     def compare(got: pa.Table) -> pa.Table:
-        at = got.column("set").to_numpy()
-        _, one = np.unique(at, return_index=True)  # rows of a repeated doc_id bring a set twice
-        sides, raw_sets = got.column("side").to_numpy()[one], got.column("hashes").combine_chunks()
-        found = [np.frombuffer(raw_sets[int(i)].as_py(), np.uint64) for i in one]
-        u, v = linked_within(found, at[one], sides, sim)
+        found = [np.frombuffer(x, np.uint64) for x in got.column("hashes").to_pylist()]
+        u, v = linked_within(found, got.column("set").to_numpy(), got.column("side").to_numpy(), sim)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return units.groupBy("component", "a", "b").applyInArrow(compare, "u long, v long")
@@ -346,7 +377,7 @@ def classes(docs: DataFrame, sim: Similarity) -> DataFrame:
     """doc_id, n_shingles, set (fingerprint of its shingles) and component_id of every document."""
     rows = materialise(sized(docs, sim), "sets")
     found = components(candidates(docs, sim))
-    first = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    first = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     groups = materialise(first.join(found.select(F.col("node").alias("set"), "component"), "set"), "groups")
     final = components(links(docs, groups, sim)).select(F.col("node").alias("set"), F.col("component").alias("linked"))
     named = first.select("set", F.col("doc_id").alias("own")).join(final, "set", "left").withColumn("linked", F.coalesce("linked", "set"))

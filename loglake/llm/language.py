@@ -133,10 +133,11 @@ def train(many: list[str], lang: list[str], landmarks: int = LANDMARKS) -> Model
 
 def fit(docs: DataFrame, sample: int = SAMPLE, keep=None) -> Model:
     """keep: a condition on doc_id that training rows meet."""
-    rows = docs.select("doc_id", "text", "lang").dropna()
+    ids = docs.where("lang is not null").select("doc_id").dropna()
     if keep is not None:
-        rows = rows.where(keep)
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).toPandas()
+        ids = ids.where(keep)
+    ids = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct())  # bounded by `sample`
+    got = docs.select("doc_id", "text", "lang").dropna().join(ids, "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     return train(got["text"].tolist(), got["lang"].tolist())
 
 

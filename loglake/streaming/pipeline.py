@@ -8,6 +8,7 @@ once, and exactly once for sinks that are idempotent in batch_id.
 from __future__ import annotations
 
 import ast
+import functools
 import threading
 import time
 from collections.abc import Callable
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from loglake import schema as S
 from loglake.errors import DrainFailed, DrainTimeout, InvalidState
 from loglake.functions import wire
-from loglake.operators import blocks, consume, recovery, retention, routing, segments
+from loglake.operators import backpressure, blocks, consume, recovery, retention, routing, segments
 from loglake.schema import Settings
 from loglake.sources import segments as source
+from loglake.streaming.cursors import HeldCursor
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -59,6 +61,7 @@ class LogPipeline:
         self.spark, self.settings, self.state = spark, settings.check(), "stopped"
         self.consumers: dict[str, Consumer] = {}
         self.queries: dict[str, object] = {}
+        self.cursors: dict[str, HeldCursor] = {}
         self.dropped: dict[tuple[str, str], int] = {}
         source.register(spark)
 
@@ -165,6 +168,9 @@ class LogPipeline:
     def _watermark(self, c: Consumer) -> int:
         """The segment a consumer is in: of its cursor, or of the last batch its query has committed."""
         if not c.sinks:
+            known = self.cursors.get(c.name)
+            if known and known.place:
+                return known.place[0]
             held, error = source.read_cursor(self.settings.path, c.name)
             return held[0] if error is None else 0
         q = self.queries.get(c.name)
@@ -184,11 +190,20 @@ class LogPipeline:
         rows = consume.page(self.frames().where("error_code is null"), after, limit).collect()
         if rows:
             r = rows[-1]
-            source.write_cursor(self.settings.path, consumer, r["segment_id"], r["byte_offset"] + r["frame_bytes"], r["seq_no"] + 1)
+            self._held(consumer).advance(r["segment_id"], r["byte_offset"] + r["frame_bytes"], r["seq_no"] + 1, len(rows))
         return rows
 
+    def _held(self, consumer: str) -> HeldCursor:
+        if consumer not in self.cursors:
+            write = functools.partial(source.write_cursor, self.settings.path, consumer)
+            self.cursors[consumer] = HeldCursor(write, self.settings.cursor_flush_records, self.settings.cursor_flush_seconds)
+        return self.cursors[consumer]
+
     def _cursor(self, consumer: str) -> int:
         """The last seq_no read; a cursor file has the next one, which a seek sets as well."""
+        known = self.cursors.get(consumer)
+        if known and known.place:
+            return known.place[2] - 1
         held, error = source.read_cursor(self.settings.path, consumer)
         if error is None:
             return held[2] - 1
@@ -230,7 +245,12 @@ class LogPipeline:
                 if c.strategy == "content_type":
                     lost = routing.unrouted(held, c.kinds).count()
                     self.dropped[c.name, routing.UNROUTED] = self.dropped.get((c.name, routing.UNROUTED), 0) + lost
-                routed = c.routed(held)
+                routed = c.routed(held).withColumn("batch", F.lit(batch_id))
+                if self.settings.backpressure == "drop":
+                    for r in backpressure.dropped(routed, self.settings.lane_capacity).collect():  # a row for each sink
+                        self.dropped[c.name, r["sink"]] = self.dropped.get((c.name, r["sink"]), 0) + r["dropped"]
+                    routed = backpressure.kept(routed, self.settings.lane_capacity).drop("position")
+                routed = routed.drop("batch")
                 for name, sink in c.sinks.items():
                     sink(routed.where(F.col("sink") == name).orderBy("seq_no", "block_pos"), batch_id)
             finally:
@@ -256,6 +276,8 @@ class LogPipeline:
                 failed = failed or e
             finally:
                 q.stop()
+        for held in self.cursors.values():
+            held.flush()
         self._clear("error" if failed else "stopped")
         if failed:
             raise failed
@@ -279,13 +301,14 @@ class LogPipeline:
             raise DrainFailed(name, found[0] if found else q.exception())
 
     def force_stop(self) -> None:
-        """Stops without draining; consumers go on from their last committed batch."""
+        """Stops without draining; consumers go on from their last committed batch or written cursor."""
         for q in self.queries.values():
             q.stop()
         self._clear("stopped")
 
     def _clear(self, state: str) -> None:
         self.queries.clear()
+        self.cursors.clear()
         self.consumers.clear()
         self.state = state
 

@@ -240,3 +240,36 @@ def test_drain_timeout(spark, tmp_path):
     p.start()
     with pytest.raises(DrainTimeout):
         p.stop()
+
+
+def test_full_lanes_drop(spark, tmp_path):
+    filled(spark, tmp_path, 10)
+    got = Collected()
+    with LogPipeline(spark, Settings(str(tmp_path), backpressure="drop", lane_capacity=4)) as p:
+        p.register_consumer("c")
+        p.add_sink("c", "s", got)
+        p.start()
+        p.stop()
+        assert [x[0] for x in got.rows] == [0, 1, 2, 3] and p.dropped == {("c", "s"): 6}
+
+
+def test_cursor_flush_policy():
+    now, written = [0.0], []
+    from loglake.streaming.cursors import HeldCursor
+
+    held = HeldCursor(lambda *at: written.append(at), 3, 5.0, clock=lambda: now[0])
+    assert [held.advance(0, i, i) for i in range(4)] == [False, False, True, False] and written == [(0, 2, 2)]
+    now[0] = 6.0
+    assert held.advance(0, 9, 9) and not held.flush() and written[-1] == (0, 9, 9)
+    held.advance(1, 0, 10)
+    assert held.flush() and written[-1] == (1, 0, 10)
+
+
+def test_force_stop_keeps_the_written_cursor(spark, tmp_path):
+    s = filled(spark, tmp_path, 6)
+    with LogPipeline(spark, s) as p:
+        for stop, want in ((p.force_stop, [0, 1]), (p.stop, [0, 1]), (p.stop, [2, 3])):
+            p.register_consumer("c")
+            p.start()
+            assert [r["seq_no"] for r in p.read_next("c", 2)] == want
+            stop()

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglake.llm.common import materialise
+from loglake.llm.common import materialise, tidy
 
 FOREST_EDGES = 1_000_000
+LAST_EDGES = 500_000
 EDGES = "u long, v long"
 
 
@@ -55,20 +56,26 @@ def thinned(edges: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return edges.select("u", "v").mapInArrow(run, EDGES)
+    return edges.select("u", "v").mapInArrow(tidy(run), EDGES)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, last: int = LAST_EDGES) -> DataFrame:
     """(node, component) for every node of edges (u long, v long): the component is one of its nodes.
 
     Each round every node joins the neighbour (or itself) that comes first in a fresh random order; edges are then
     relabelled, thinned to forests and written. The joins of a node to its neighbour are aggregated before they are
-    shuffled, so a hub costs no task more than others. Rounds go with the logarithm of the number of nodes.
+    shuffled, so a hub costs no task more than others. Rounds go with the logarithm of the number of nodes, until at most
+    `last` edges are left, which one task finishes: a fixed number of rows of two numbers, whatever the input.
     """
     maps = []
-    left = materialise(thinned(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))), "edges")
+    left = materialise(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")), "edges")
     for i in range(rounds):
-        if left.isEmpty():
+        size = left.count()
+        if not size:
+            break
+        if size <= last:
+            stars = materialise(thinned(left.coalesce(1)), "stars")
+            maps.append(stars.select(F.col("v").alias("node"), F.col("u").alias("up")).union(stars.select("u", "u").distinct()))
             break
         both = left.union(left.select("v", "u"))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023

@@ -35,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import materialise, raw, slices, table, texts
+from loglake.llm.common import materialise, raw, slices, table, texts, tidy
 from loglake.llm.components import components, forest
 from loglake.llm.kernels import ODD, U, Words, mix
 
-BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
+BLOCK_BYTES = 2 << 20
 BLOCK_SETS = 1024
 BLOOM_BITS = 1 << 26
 BLOOM_HASHES = 4
-MET_SETS = 1 << 20
-HELD_CELLS = 1 << 20
+MET_SETS = 1 << 18
+HELD_CELLS = 1 << 19
 RICH = 3  # shingles from which a cell is always emitted
 
 
@@ -155,12 +156,12 @@ def sized(docs: DataFrame, sim: Similarity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = texts(b.column(1))
-            for at, to in slices(text):
+            for at, to in slices(text, SLICE_BYTES):
                 h, first = Words(*raw(text, at, to), fold=True).shingle_sets(sim.k)
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:to].cast(pa.int64()), pa.array(n), pa.array(fingerprints(h, first).view(np.int64), mask=n == 0)], ["doc_id", "n_shingles", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set long")
 
 
 def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +194,7 @@ def candidates(docs: DataFrame, sim: Similarity) -> DataFrame:
 
         for b in batches:
             text = texts(b.column(0))
-            for at, to in slices(text):
+            for at, to in slices(text, SLICE_BYTES):
                 h, first = Words(*raw(text, at, to), fold=True).shingle_sets(sim.k)
                 f = fingerprints(h, first).view(np.int64)
                 fresh = np.zeros(len(f), bool)
@@ -250,9 +251,9 @@ def candidates(docs: DataFrame, sim: Similarity) -> DataFrame:
             u2, v2 = forest(np.concatenate(us), np.concatenate(vs))
             yield pa.RecordBatch.from_arrays([pa.array(u2), pa.array(v2)], ["u", "v"])
 
-    rows = docs.select("text").mapInArrow(emit, "key long, u long, v long")
+    rows = docs.select("text").mapInArrow(tidy(emit), "key long, u long, v long")
     dealt = rows.repartition(_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(join, "u long, v long")
+    return dealt.mapInArrow(tidy(join), "u long, v long")
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -349,7 +350,7 @@ def links(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
         met: set[int] = set()
         for b in batches:
             text = texts(b.column(0))
-            for at, to in slices(text):
+            for at, to in slices(text, SLICE_BYTES):
                 h, first = Words(*raw(text, at, to), fold=True).shingle_sets(sim.k)
                 f = fingerprints(h, first).view(np.int64)
                 fresh = [i for i in np.flatnonzero(_in_bloom(maybe.value, f)).tolist() if f[i] not in met and not met.add(f[i])]
@@ -359,7 +360,7 @@ def links(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
             if len(met) > MET_SETS:
                 met.clear()
 
-    found = docs.select("text").mapInArrow(take, "set long, hashes binary").dropDuplicates(["set"])
+    found = docs.select("text").mapInArrow(tidy(take), "set long, hashes binary").dropDuplicates(["set"])
     sets = found.join(members, "set")
     # block b meets block c >= b in unit (b, c); one block alone is unit (0, 0)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

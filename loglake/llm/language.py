@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import bucket_of, raw, slices, table, texts
+from loglake.llm.common import bucket_of, raw, slices, table, texts, tidy
 from loglake.llm.kernels import LOWER
 
 ORDER = 3
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for at, to, lang, score in _each(shared.value, texts(b.column(1))):
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:to].cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
@@ -170,7 +170,7 @@ def accept(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFra
             for at, to, lang, score in _each(shared.value, texts(b.column(where))):
                 yield b.slice(at, to - at).filter(pa.array((np.array(lang) != UND) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

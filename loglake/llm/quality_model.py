@@ -55,7 +55,7 @@ def rows(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray
     out = []
     for a, b in zip(t.first[:-1], t.first[1:]):
         at, n = np.unique(every[a:b], return_counts=True)
-        out.append((at, SCALE * n / max(b - a, 1)))
+        out.append((at.astype(np.int32), (SCALE * n / max(b - a, 1)).astype(np.float32)))
     return out
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm.common import labelled_sample, raw, slices, table, texts
+from loglake.llm.common import labelled_sample, raw, slices, table, texts, tidy
 from loglake.llm.kernels import U
 from loglake.llm.linear import Ftrl, Tokens, grams, index, sigmoid
 
@@ -57,7 +57,7 @@ def token_rows(many: list[str]) -> list[np.ndarray]:
     for at in range(0, len(many), 500):
         t = Tokens(*_laid(many[at : at + 500]))
         every = np.stack(_families(t), 1)
-        out += [np.unique(every[a:b]) for a, b in zip(t.first[:-1], t.first[1:])]
+        out += [np.unique(every[a:b]).astype(np.int32) for a, b in zip(t.first[:-1], t.first[1:])]
     return out
 
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
                 cols = [pa.array(x) for x in p.T]
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:to].cast(pa.int64()), *cols, cols[-1], pa.array(p[:, -1] >= threshold)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def accept(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -180,7 +180,7 @@ def accept(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataF
                 toxic = shared.value.probabilities(*raw(text, at, to))[:, -1] >= threshold
                 yield b.slice(at, to - at).filter(pa.array(~toxic))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ LOWER[65:91] += 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D
 U = np.uint64
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +38,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, BLOCK + 1)
         inverse = pow(BASE, -1, 1 << 64)
         out = []
         for b in (BASE, inverse):
@@ -49,14 +50,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each data[start:end] (ascending, not overlapping); fold: A-Z as a-z."""
-    n = len(data)
-    up, down = _power_tables(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_byte_values(fold)[data] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * ODD)
+    """A 64-bit hash of each data[start:end] (ascending, not overlapping); fold: A-Z as a-z. Spans are taken in blocks of
+    BLOCK bytes (or one longer span), so that a very long text needs no more memory than many short ones."""
+    out = np.empty(len(starts), np.uint64)
+    at, values = 0, _byte_values(fold)
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+        n = int(ends[to - 1]) - base
+        up, down = _power_tables(n + 1)
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(values[data[base : base + n]] * up[:n], out=total[1:])
+        a, b = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * ODD)
+        at = to
+    return out
 
 
 class Words:

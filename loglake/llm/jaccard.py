@@ -16,7 +16,8 @@ Two documents link when DEN * |intersection| >= NUM * |union| of their sets of k
    one row a task, never a group. What results are connected candidate groups, not pairs.
 4. Verification. Each candidate group is compared by blocks: fixed-width bit sketches give a Hamming distance that bounds
    the symmetric difference from below, pairs within the bound and not yet connected are verified exactly on their sets,
-   and a block reports a spanning forest of its links. Large groups are dealt to pairs of blocks over many tasks.
+   and a block reports a spanning forest of its links. Large groups are dealt to pairs of blocks over many tasks, first
+   with the sketches alone, which split them into groups of really near sets, then those with the sets.
 5. Components of the links, and for each the smallest doc_id.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; a text with fewer than k words has its
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.llm.common import materialise, raw, slices, table, texts, tidy
@@ -42,6 +43,7 @@ from loglake.llm.kernels import ODD, U, Words, mix
 SLICE_BYTES = 1 << 19
 BLOCK_BYTES = 2 << 20
 BLOCK_SETS = 1024
+SKETCH_BLOCK_SETS = 4096
 BLOOM_BITS = 1 << 26
 BLOOM_HASHES = 4
 MET_SETS = 1 << 18
@@ -260,9 +262,8 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def linked_within(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+def linked_within(sets: list[np.ndarray], n: np.ndarray, ids: np.ndarray, side: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between sets of side 0 and of side 1, or within side 0 where there is no side 1."""
-    n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     sets, ids, side, n = [sets[i] for i in order], ids[order], side[order], n[order]
     words = max(4, int(sim.difference(n[-1], n[-1])) // 8 + 1)
@@ -337,13 +338,16 @@ def _in_bloom(bloom: np.ndarray, f: np.ndarray) -> np.ndarray:
     return ((bloom[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).all(1)
 
 
-def links(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
-    """Edges (u, v) of a spanning forest of the links within groups (set, n_shingles, component), by blocks. The texts
-    are read again; a Bloom filter of fixed size keeps those of other sets out of the shuffle."""
-    shape = groups.groupBy("component").agg(F.sum(8 * F.col("n_shingles") + 64).alias("bytes"), F.count("*").alias("sets"))
-    blocks = F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("sets") / BLOCK_SETS)).cast("int")
-    members = groups.select("set", "component").join(shape.select("component", blocks.alias("blocks")), "component")
-    members = materialise(members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")), "members")
+def _blocked(groups: DataFrame, size: Column) -> DataFrame:
+    """(set, component, blocks, block) of groups: each component in as many blocks as `size` (an aggregate) asks for."""
+    shape = groups.groupBy("component").agg(size.cast("int").alias("blocks"))
+    members = groups.select("set", "component").join(shape, "component")
+    return members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+
+
+def _compared(docs: DataFrame, members: DataFrame, sim: Similarity, payload, compare) -> DataFrame:
+    """compare(sets, side, payloads) -> (u, v) over all pairs of blocks of each component; payload(hashes) is what a set
+    brings along. The texts are read again; a Bloom filter of fixed size keeps those of other sets out of the shuffle."""
     maybe = docs.sparkSession.sparkContext.broadcast(_bloom(members))  # BLOOM_BITS bits, whatever the input
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,23 +359,100 @@ def links(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
                 f = fingerprints(h, first).view(np.int64)
                 fresh = [i for i in np.flatnonzero(_in_bloom(maybe.value, f)).tolist() if f[i] not in met and not met.add(f[i])]
                 if fresh:
-                    made = pa.array([h[first[i] : first[i + 1]].tobytes() for i in fresh], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(f[fresh]), made], ["set", "hashes"])
+                    made = pa.array([payload(h[first[i] : first[i + 1]]).tobytes() for i in fresh], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(f[fresh]), pa.array(np.diff(first)[fresh]), made], ["set", "n", "payload"])
             if len(met) > MET_SETS:
                 met.clear()
 
-    found = docs.select("text").mapInArrow(tidy(take), "set long, hashes binary").dropDuplicates(["set"])
+    found = docs.select("text").mapInArrow(tidy(take), "set long, n long, payload binary").dropDuplicates(["set"])
     sets = found.join(members, "set")
     # block b meets block c >= b in unit (b, c); one block alone is unit (0, 0)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = sets.select("component", "set", "hashes", "block", every).select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "set", "hashes")
+    units = sets.select("component", "set", "n", "payload", "block", every).select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "set", "n", "payload")
 
-    def compare(got: pa.Table) -> pa.Table:
-        found = [np.frombuffer(x, np.uint64) for x in got.column("hashes").to_pylist()]
-        u, v = linked_within(found, got.column("set").to_numpy(), got.column("side").to_numpy(), sim)
+    def unit(got: pa.Table) -> pa.Table:
+        found = [np.frombuffer(x, np.uint64) for x in got.column("payload").to_pylist()]
+        u, v = compare(found, got.column("n").to_numpy(), got.column("set").to_numpy(), got.column("side").to_numpy(), sim)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return units.groupBy("component", "a", "b").applyInArrow(compare, "u long, v long")
+    return units.groupBy("component", "a", "b").applyInArrow(unit, "u long, v long")
+
+
+def sketch_words(n: int) -> int:
+    """64-bit words of a set's sketch, a power of two: 1.3 to 2.7 bits a shingle, several times the difference allowed."""
+    return 1 << max(1, (n // 24).bit_length() - 1)
+
+
+def sketched(h: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set's sorted hashes: each flips one bit. Neighbouring words of it, XORed, are the sketch of
+    half as many words."""
+    words = sketch_words(len(h))
+    w = ((h >> U(32)) * U(words) >> U(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    out = np.zeros(words, np.uint64)
+    out[w[at]] = np.bitwise_xor.reduceat(U(1) << (mix(h + ODD) & U(63)), at)
+    return out
+
+
+def near_within(sketches: list[np.ndarray], n: np.ndarray, ids: np.ndarray, side: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (as in linked_within) whose sketches' distance does not rule a link out."""
+    order = np.argsort(n, kind="stable")
+    n, ids, side = n[order], ids[order], side[order]
+    words = np.array([len(sketches[i]) for i in order])
+    kinds = {int(w): np.stack([sketches[i] for i in order[words == w]]) for w in np.unique(words)}
+    begins = {w: int(np.searchsorted(words, w)) for w in kinds}
+    both, label = bool(side.any()), np.arange(len(n))
+    us, vs = [], []
+    for i in range(len(n)):
+        to = int(np.searchsorted(n, sim.largest(n[i]), "right"))
+        if to <= i + 1:
+            continue
+        w = int(words[i])
+        mine = kinds[w][i - begins[w]]
+        ask = label[i + 1 : to] != label[i]
+        if both:
+            ask &= side[i + 1 : to] != side[i]
+        every = np.flatnonzero(ask) + i + 1
+        hits = []
+        for other, rows in kinds.items():  # partners have as many words, or twice as many: those are folded
+            j = every[words[every] == other]
+            if not len(j):
+                continue
+            theirs = rows[j - begins[other]]
+            while theirs.shape[1] > w:
+                theirs = theirs[:, ::2] ^ theirs[:, 1::2]
+            apart = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+            hits.append(j[apart <= sim.difference(n[i], n[j])])
+        hit = np.concatenate(hits) if hits else every
+        if len(hit):
+            groups, one = np.unique(label[hit], return_index=True)
+            us += [ids[i]] * len(one)
+            vs += ids[hit[one]].tolist()
+            label[np.isin(label, groups)] = label[i]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def refined(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
+    """groups (set, n_shingles, component), those of more than a block replaced by the components of what the sketches
+    alone do not rule out: shared passages chain strangers into one group, and sketches are small enough to compare all."""
+    large = groups.groupBy("component").agg(_blocks_needed().alias("blocks")).where("blocks > 1").select("component")
+    if large.isEmpty():
+        return groups
+    large = materialise(large, "large")
+    members = materialise(_blocked(groups.join(large, "component", "left_semi"), F.ceil(F.count("*") / SKETCH_BLOCK_SETS)), "large-members")
+    near = components(_compared(docs, members, sim, sketched, near_within)).select(F.col("node").alias("set"), F.col("component").alias("component"))
+    split = groups.drop("component").join(near, "set").select(*groups.columns)
+    return materialise(groups.join(large, "component", "left_anti").select(*groups.columns).union(split), "refined")
+
+
+def _blocks_needed() -> Column:
+    return F.ceil(F.greatest(F.sum(8 * F.col("n_shingles") + 64) / BLOCK_BYTES, F.count("*") / BLOCK_SETS))
+
+
+def links(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
+    """Edges (u, v) of a spanning forest of the links within groups (set, n_shingles, component), by blocks."""
+    members = materialise(_blocked(refined(docs, groups, sim), _blocks_needed()), "members")
+    return _compared(docs, members, sim, lambda h: h, linked_within)
 
 
 def classes(docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -379,7 +460,7 @@ def classes(docs: DataFrame, sim: Similarity) -> DataFrame:
     rows = materialise(sized(docs, sim), "sets")
     found = components(candidates(docs, sim))
     first = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    groups = materialise(first.join(found.select(F.col("node").alias("set"), "component"), "set"), "groups")
+    groups = materialise(first.join(found.select(F.col("node").alias("set"), "component"), "set").select("set", "n_shingles", "component"), "groups")
     final = components(links(docs, groups, sim)).select(F.col("node").alias("set"), F.col("component").alias("linked"))
     named = first.select("set", F.col("doc_id").alias("own")).join(final, "set", "left").withColumn("linked", F.coalesce("linked", "set"))
     least = named.groupBy("linked").agg(F.min("own").alias("least"))

@@ -92,6 +92,7 @@ def test_blocks_and_small_tasks_find_the_same(spark, monkeypatch):
     r = random.Random(9)
     rows = list(enumerate(chained(r, 120, 60, 1)))
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK_SETS", 30)
     monkeypatch.setattr(jaccard, "HELD_CELLS", 50)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {x["doc_id"]: x["component_id"] for x in jaccard.classes(docs, jaccard.CONTRACT).collect()} == brute(rows, jaccard.CONTRACT)[0]
@@ -112,6 +113,17 @@ def test_every_linked_pair_shares_a_cell():
                 assert set(key[of == 0].tolist()) & set(key[of == 1].tolist()), (n, len(a), len(b), len(a & b))
 
 
+def test_sketches_bound_the_difference_from_below():
+    r = random.Random(6)
+    for n in (3, 30, 47, 48, 100, 191, 200, 900):
+        a = {r.randrange(1 << 64) for _ in range(n)}
+        b = set(list(a)[: n - n // 9]) | {r.randrange(1 << 64) for _ in range(n // 9 + 3)}
+        x, y = (jaccard.sketched(np.array(sorted(s), np.uint64)) for s in (a, b))
+        while len(x) != len(y):
+            x, y = (x, y[::2] ^ y[1::2]) if len(y) > len(x) else (x[::2] ^ x[1::2], y)
+        assert np.bitwise_count(x ^ y).sum() <= len(a ^ b)
+
+
 def test_join_on_awkward_rows(awkward, nothing):
     got = jaccard.classes(awkward, jaccard.CONTRACT).collect()
     assert len(got) == awkward.count()
@@ -125,13 +137,14 @@ def test_join_on_awkward_rows(awkward, nothing):
     assert kept.columns == awkward.columns and kept.where("doc_id = 101").count() == 2 and kept.where("doc_id = 7").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 40, 500_000])
+def test_components(spark, last):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(300) if i % 50 != 49] + [(1000, 1000 + r.randrange(1, 200)) for _ in range(200)] + [(5, 5), (3, 2)]
     f = Sets()
     for a, b in edges:
         f.join(a, b)
-    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()}
+    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "u long, v long").repartition(6), last=last).collect()}
     same = defaultdict(set)
     for n, c in got.items():
         same[c].add(n)

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from loglake.plans import catalog, queries  # noqa: F401
@@ -21,7 +22,8 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in frame.itertuples(index=False))
+    said = lambda v: "" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
+    return sorted(tuple(map(said, r)) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -19,6 +19,8 @@ stays null; an empty table gives no rows; other columns do not matter.
 from __future__ import annotations
 
 import functools
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,15 +50,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Content and id of the tokens that the tokenizer's JSON, beside the rank file, adds to the ranks; without one none."""
+    beside = os.path.splitext(vocabulary)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if odd := [x["content"] for x in found if x["single_word"] or x["lstrip"] or x["rstrip"]]:
+        raise ValueError(f"added tokens that take in what stands beside them: {odd}")
+    return {x["content"]: x["id"] for x in found}
+
+
 class ChunkTable:
     """Chunk of text -> its ids as 16-bit integers (a vocabulary of up to 65,536).
 
     The vocabulary's pattern never joins a character to a white space that follows it, so a text whose white spaces stand
     alone is the concatenation of its chunks, each a space or line feed and what follows. Other texts are encoded whole.
     A key is a chunk without its leading space; a line feed stays; a text's first chunk has NUL in front.
+
+    added: tokens beyond the ranks. A text is cut at them, the longest first, before anything else; each is its id.
     """
 
-    def __init__(self, vocabulary: str, entries: int = TABLE_ENTRIES):
+    def __init__(self, vocabulary: str, entries: int = TABLE_ENTRIES, added: dict[str, int] | None = None):
         import base64
 
         import public_tokenizers
@@ -66,6 +82,8 @@ class ChunkTable:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.entries, self.ids = entries, {}
+        self.added = {a: np.array([i], "<u2").tobytes() for a, i in (added or {}).items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
@@ -74,6 +92,14 @@ class ChunkTable:
         return self._whole(key if key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key)
 
     def encode_all(self, many: list[str]) -> list[bytes]:
+        cut = {i: self.cuts.split(x) for i, x in enumerate(many) if any(a in x for a in self.added)}
+        if not cut:
+            return self._encode_all(many)
+        parts = [cut.get(i, [x]) for i, x in enumerate(many)]
+        plain = iter(self._encode_all([x for xs in parts for x in xs[::2]]))  # the tokens are at the odd places
+        return [b"".join(self.added[x] if i % 2 else next(plain) for i, x in enumerate(xs)) for xs in parts]
+
+    def _encode_all(self, many: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for x in many:
             if "  " in x or "\n\n" in x or " \n" in x or "\n " in x or ODD_SPACE.search(x):
@@ -92,7 +118,7 @@ class ChunkTable:
 
 @functools.lru_cache(2)
 def chunk_table(vocabulary: str) -> ChunkTable:
-    return ChunkTable(vocabulary)
+    return ChunkTable(vocabulary, added=added_tokens(vocabulary))
 
 
 def crc(ids: np.ndarray) -> int:

@@ -222,6 +222,23 @@ def test_chunks_equal_the_tokenizer():
         assert np.frombuffer(t.encode_all([x])[0], "<u2").tolist() == ids_of(x)[:-1], x
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # with its default settings
+    e = "<|endoftext|>"
+    docs = dict(enumerate([f"a {e} b", e, e + e, f"x{e}y", f"  {e}  \n", f"a\n{e}\nb c", f"<|{e}|>", "<|endoftext>", f"{e} " * 1500, "no such token"]))
+    rows = packing.pack(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), packing.default_vocabulary()).collect()
+    for doc, text in docs.items():
+        ids, at = [*t.encode(text, add_special_tokens=False).ids, 0], 0
+        for r in sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["start"]):
+            part = ids[at : at + r["length"]]
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(part)}I", *part))), text
+            at += r["length"]
+        assert at == len(ids), text
+
+
 def held(rows, docs):
     """What a packing must be, whatever the plan: whole documents, gapless sequences, right checksums."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

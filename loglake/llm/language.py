@@ -8,8 +8,13 @@ one ridge regression a language (+1 or -1) is solved on them. Scoring is two mat
 Trained on a bounded sample of documents with a language (SAMPLE rows, the first by a hash of the id). Every document's
 whole text is read. The score is the winner's regression value, moved from -1..1 to 0..1.
 
+The score tells languages apart, not strangers: a text in none of them scores near 0.5. What accept() rejects strangers by
+is familiarity: the share of a text's n-grams of ORDER bytes (of all it has, if shorter) that at least KNOWN of the winner's
+training texts have. Each language's least is SLACK times the QUANTILE of what its training texts reach when HELD folds
+are held out in turn; ALLOWANCE / sqrt(n) makes up for what chance does to a text of n n-grams.
+
 Defined cases: a null text or one without a letter is `und` with score 0; ties go to the language first in order; without
-training rows everything is `und`; repeated rows get equal results; lang, source and doc_id are not read when predicting.
+training rows everything is `und`; a language of one training text has nothing held out, and so no least familiarity; repeated rows get equal results; lang, source and doc_id are not read when predicting.
 """
 
 from __future__ import annotations
@@ -34,6 +39,11 @@ RIDGE = 0.1
 FOLDS = 4
 UND = "und"
 LEAST_SCORE = 0.3
+KNOWN = 0.003
+HELD = 4
+QUANTILE = 0.05
+SLACK = 0.65
+ALLOWANCE = 0.5
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 STEPS = np.array([40503, 30011, 51787, 60493], np.uint32)
@@ -63,6 +73,18 @@ def presence(data: np.ndarray, off: np.ndarray, slot: np.ndarray, width: int) ->
     return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
 
 
+def familiar(data: np.ndarray, off: np.ndarray, known: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the share of its n-grams of the longest order it has that known[which] has, and how many they are."""
+    size = len(off) - 1
+    share, n = np.zeros(size), np.zeros(size, np.int64)
+    for h, of in _hashed(data, off):
+        count = np.bincount(of, minlength=size)
+        has = np.bincount(of, known[which[of], h], size)
+        share = np.where(count > 0, has / np.maximum(count, 1), share)
+        n = np.where(count > 0, count, n)
+    return share, n
+
+
 def lettered(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text has a letter."""
     n = np.concatenate([[0], np.cumsum(ASCII_LETTER[data], dtype=np.int64)])
@@ -78,6 +100,8 @@ class Model:
     slot: np.ndarray  # hash -> column of the spectrum, or the one past it
     landmarks: np.ndarray
     weights: np.ndarray
+    known: np.ndarray  # for each language, the hashes that KNOWN of its texts have
+    least: np.ndarray  # for each language, the least familiarity
 
     def values(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The regression value of each text for each language."""
@@ -94,6 +118,15 @@ class Model:
         score = np.where(ok, np.clip((v[np.arange(n), best] + 1) / 2, 0, 1), 0.0).astype(float)
         return [self.languages[i] if k else UND for i, k in zip(best.tolist(), ok.tolist())], score
 
+    def met(self, data: np.ndarray, off: np.ndarray, lang: list[str]) -> np.ndarray:
+        """Whether each text is as familiar as texts of the language it was given are; `und` is not."""
+        place = {x: i for i, x in enumerate(self.languages)}
+        which = np.array([place.get(x, -1) for x in lang], np.int64)
+        if not place:
+            return np.zeros(len(lang), bool)
+        share, n = familiar(data, off, self.known, which)
+        return (which >= 0) & (share + ALLOWANCE / np.sqrt(np.maximum(n, 1)) >= self.least[which])
+
 
 def _laid(many: list[str]):
     col = texts(pa.array(many, pa.string()))
@@ -104,17 +137,23 @@ def train(many: list[str], lang: list[str], landmarks: int = LANDMARKS) -> Model
     languages = sorted(set(lang))
     slot = np.full(1 << HASH_BITS, 0, np.int32)
     if not languages:
-        return Model([], slot, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+        return Model([], slot, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 1 << HASH_BITS), bool), np.zeros(0))
     y = np.array([languages.index(x) for x in lang])
-    shares = np.zeros((len(languages), 1 << HASH_BITS))
+    nth = np.zeros(len(y), np.int64)  # of its language
+    for c in range(len(languages)):
+        nth[y == c] = np.arange((y == c).sum())
+    fold = nth % HELD
+    counts = np.zeros((HELD, len(languages), 1 << HASH_BITS), np.int32)
     for at in range(0, len(many), 200):
         data, off = _laid(many[at : at + 200])
         seen = np.zeros((len(off) - 1, 1 << HASH_BITS), np.float32)
         for h, of in _hashed(data, off):
             seen[of, h] = 1
         for c in range(len(languages)):
-            shares[c] += seen[y[at : at + 200] == c].sum(0)
-    shares /= np.bincount(y, minlength=len(languages))[:, None]
+            for f in range(HELD):
+                counts[f, c] += seen[(y[at : at + 200] == c) & (fold[at : at + 200] == f)].sum(0).astype(np.int32)
+    total = counts.sum(0)
+    shares = total / np.bincount(y, minlength=len(languages))[:, None]
     kept = np.sort(np.argsort(-(shares.var(0) if len(languages) > 1 else shares[0]), kind="stable")[:SPECTRUM])
     slot[:] = len(kept)
     slot[kept] = np.arange(len(kept))
@@ -128,7 +167,24 @@ def train(many: list[str], lang: list[str], landmarks: int = LANDMARKS) -> Model
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1 / np.bincount(y, minlength=len(languages))[y]  # each language counts alike
     w = np.linalg.solve((z * weight[:, None]).T @ z + RIDGE / len(z) * np.eye(z.shape[1]), (z * weight[:, None]).T @ target)
-    return Model(languages, slot, marks, (root @ w).astype(np.float32))
+    known, least = _familiarity(many, y, fold, counts, total)
+    return Model(languages, slot, marks, (root @ w).astype(np.float32), known, least)
+
+
+def _familiarity(many: list[str], y: np.ndarray, fold: np.ndarray, counts: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Model.known, and Model.least from texts that are held out of what is known. counts: of texts with each hash, by
+    fold and language; total: over all folds."""
+    often = lambda c, n: (c > 0) & (c >= KNOWN * n[:, None])
+    size = np.bincount(y, minlength=len(total))
+    reached = np.zeros(len(y))
+    for f in range(HELD):
+        known = often(total - counts[f], size - np.bincount(y[fold == f], minlength=len(total)))
+        held = np.flatnonzero(fold == f)
+        for at in range(0, len(held), 200):
+            part = held[at : at + 200]
+            share, n = familiar(*_laid([many[i] for i in part.tolist()]), known, y[part])
+            reached[part] = np.minimum(share + ALLOWANCE / np.sqrt(np.maximum(n, 1)), 1)
+    return often(total, size), np.array([SLACK * np.quantile(reached[y == c], QUANTILE) if size[c] > 1 else 0.0 for c in range(len(total))])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, keep=None) -> Model:
@@ -161,14 +217,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """docs, with its own columns, without those whose language is `und` or scores under `least`: one pass, no join."""
+    """docs, with its own columns, without those whose language is `und`, scores under `least` or is too unfamiliar (see
+    Model.met): one pass, no join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, to, lang, score in _each(shared.value, texts(b.column(where))):
-                yield b.slice(at, to - at).filter(pa.array((np.array(lang) != UND) & (score >= least)))
+            col = texts(b.column(where))
+            for at, to, lang, score in _each(shared.value, col):
+                met = shared.value.met(*raw(col, at, to), lang)
+                yield b.slice(at, to - at).filter(pa.array((np.array(lang) != UND) & (score >= least) & met))
 
     return docs.mapInArrow(tidy(run), docs.schema)
 

@@ -140,6 +140,28 @@ def test_language_on_awkward_rows(awkward, nothing):
     assert language.accept(awkward, model).columns == awkward.columns and language.accept(nothing, model).count() == 0
 
 
+STRANGERS = [
+    "今天天气很好,我们一起去公园散步,然后回家吃饭。", "天气很好", "Сегодня хорошая погода, и мы пошли гулять в парк, а потом вернулись домой ужинать.", "погода",
+    "今日は天気がいいので公園を散歩してから家に帰って夕食を食べました。", "الطقس جميل اليوم لذلك ذهبنا في نزهة في الحديقة ثم عدنا إلى المنزل.", "오늘은 날씨가 좋아서 공원을 산책하고 집에 돌아와 저녁을 먹었습니다.",
+    "Dzisiaj jest piękna pogoda, więc poszliśmy na spacer do parku, a potem wróciliśmy do domu na obiad.", "Tänään on kaunis ilma, joten menimme kävelylle puistoon ja palasimme sitten kotiin syömään.",
+    "Bugün hava çok güzel, bu yüzden parkta yürüyüşe çıktık ve sonra akşam yemeği için eve döndük.", "xkq zvbt wrpl mnkd ghjt qwx zzkp vbn mtrk plkjh gfds xcvb",
+]
+
+
+def test_strangers_are_rejected_and_the_known_stay(spark):
+    """Languages and scripts that are not learned go, short and long; held-out documents of the learned ones stay."""
+    docs, _ = docs_and_labels(spark)
+    held = F.col("doc_id") % 4 == 2
+    model = language.fit(docs, keep=~held)
+    rows = [(i, " ".join([t] * n)) for n in (1, 20) for i, t in enumerate(STRANGERS)]
+    assert [r["text"][:40] for r in language.accept(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()] == []
+    known = docs.where(held).where("text rlike '[a-zA-Z]'")
+    assert language.accept(known, model).count() >= 0.99 * known.count()
+    short = known.selectExpr("doc_id", "element_at(split(text, '[.]'), 1) as text").where("length(text) > 20")
+    assert language.accept(short, model).count() >= 0.97 * short.count()
+    assert language.accept(known, language.train([], [])).count() == 0
+
+
 # ---- op7 ----
 
 

@@ -26,11 +26,13 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+WORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|(?:api|access|private|client)[ _-]?key|bearer|login)"
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|(?:api|access|private|client)[ _-]?key|bearer|login)["']?\x20{0,8}(?::|=>?|\x20is\x20)\x20{0,8}["']?([^\s"'<>,;]{6,})""",
+    rf"""(?:{WORD}["']?[ \t]*(?::|=>?|(?<=[ \t])is[ \t])[ \t]*|(?:bearer|basic)[ \t]+)["']?([^\s"'<>,;]{{6,}})""",
     re.I | re.A,
 )
-HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key", "bearer", "login")
+NAME = re.compile(rf"{WORD}[:=]*", re.I | re.A)
+HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key", "bearer", "basic", "login")
 GUESSES = 1e10
 HEXED = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -117,11 +119,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def guessed(text: str, ranks: dict[str, int], least: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values in credential contexts that cost 10**least guesses or more. A value that is a context word
+    itself (`login: passphrase: x`), or is cheap (`Authorization: Bearer x`), may be the context of the next: the search
+    goes on at its start. A cheap value holds few context words, as each costs guesses, so it is searched few times."""
+    m = CONTEXT.search(text)
+    while m:
+        strong = not NAME.fullmatch(m[1]) and guess_cost(m[1], ranks) >= least
+        if strong:
+            yield m.span(1)
+        m = CONTEXT.search(text, m.end() if strong else m.start(1))
+
+
 def spans(text: str, ranks: dict[str, int], guesses: float = GUESSES) -> list[tuple[int, int, int]]:
     """base_spans() and those of kind guess, in order."""
     out, low, least = base_spans(text), text.lower(), math.log10(guesses)
     if any(h in low for h in HINTS):
-        out += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= least]
+        out += [(a, 3, b) for a, b in guessed(text, ranks, least)]
     return sorted(out)
 
 

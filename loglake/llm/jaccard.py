@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loglake.llm.common import materialise, raw, slices, table, texts, tidy
 from loglake.llm.components import components, forest
@@ -457,6 +458,11 @@ def links(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
 
 def classes(docs: DataFrame, sim: Similarity) -> DataFrame:
     """doc_id, n_shingles, set (fingerprint of its shingles) and component_id of every document."""
+    return linked(docs, sim).drop("linked")
+
+
+def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """classes(), and linked: the component as one of its sets, as component_id may be null or of several components."""
     rows = materialise(sized(docs, sim), "sets")
     found = components(candidates(docs, sim))
     first = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
@@ -464,21 +470,47 @@ def classes(docs: DataFrame, sim: Similarity) -> DataFrame:
     final = components(links(docs, groups, sim)).select(F.col("node").alias("set"), F.col("component").alias("linked"))
     named = first.select("set", F.col("doc_id").alias("own")).join(final, "set", "left").withColumn("linked", F.coalesce("linked", "set"))
     least = named.groupBy("linked").agg(F.min("own").alias("least"))
-    named = named.join(least, "linked").select("set", F.col("least").alias("component_id"))
-    return rows.join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set")
+    named = named.join(least, "linked").select("set", "linked", F.col("least").alias("component_id"))
+    return rows.join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set", "linked")
+
+
+def _with_set(docs: DataFrame, sim: Similarity, name: str) -> DataFrame:
+    """docs, and the fingerprint of each row's own set (null for an empty one) as the column `name`."""
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = texts(b.column(where))
+            for at, to in slices(text, SLICE_BYTES):
+                h, first = Words(*raw(text, at, to), fold=True).shingle_sets(sim.k)
+                of = pa.array(fingerprints(h, first).view(np.int64), mask=np.diff(first) == 0)
+                yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, of], [*b.schema.names, name])
+
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def representatives(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """docs with its own columns, one document of each component: the one of its smallest doc_id. Documents without an
-    id or without words stay. A doc_id on several rows counts as kept if any of them is; of its equal texts one stays."""
-    found = materialise(classes(docs, sim).select("doc_id", (F.coalesce("component_id", "doc_id") != F.col("doc_id")).alias("gone")), "classes")
-    each = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("gone").alias("gone"), F.count("*").alias("n"))
-    left = docs.join(each.where("gone").select("doc_id"), "doc_id", "left_anti")
-    again = each.where("n > 1 and not gone").select("doc_id")
-    if not again.isEmpty():
-        one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(again, "doc_id", "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    """docs with its own columns, one row of each component: that of its smallest doc_id (null last), and of several such
+    rows that of the smallest set, then of the smallest hash of the text. Rows without words stay, but of those with one
+    doc_id and equal texts one does."""
+    found = materialise(linked(docs, sim), "classes")
+    each = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "doc_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
+    left = docs.join(each.where("gone or n > 1").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again, unnamed = each.where("n > 1").select("doc_id"), found.where("doc_id is null")
+    if again.isEmpty() and unnamed.isEmpty():
+        return left
+    # Rows that their doc_id does not tell apart: known by doc_id and set, of which equal ones meet in partial aggregates.
+    odd = docs.join(again, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    name = "set"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    odd = _with_set(odd, sim, name)
+    wordless = odd.where(F.col(name).isNull()).drop(name)
+    wordless = wordless.where("doc_id is null").union(wordless.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    first = found.where("set is not null and doc_id <=> component_id").groupBy("linked").agg(F.min("doc_id").alias("least"), F.min("set").alias("of"))
+    one = odd.where(F.col(name).isNotNull()).groupBy(F.col("doc_id").alias("id"), F.col(name).alias("own")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    one = one.join(first, F.col("id").eqNullSafe(F.col("least")) & (F.col("own") == F.col("of")), "left_semi").select("row.*")
+    return left.where("doc_id is not null").union(wordless).union(one)
 
 
 CONTRACT = Similarity(4, 85, 100)

@@ -137,6 +137,30 @@ def test_join_on_awkward_rows(awkward, nothing):
     assert kept.columns == awkward.columns and kept.where("doc_id = 101").count() == 2 and kept.where("doc_id = 7").count() == 0
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    """Ids null, repeated, on near copies and on rows of several groups: one row of each group stays."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(12):
+        texts += chained(r, 10, 60, 1)
+    texts += texts[::7] + [t.upper() for t in texts[::9]] + [prose(r, 50, WORDS) for _ in range(10)]
+    rows = [(k, r.choice([None, None, 3, 4, 5, 1000 + k]), t) for k, t in enumerate(texts)]
+    rows += [(len(rows) + i, None, t) for i, t in enumerate(chained(r, 6, 60, 1))]  # a group without ids
+    docs = spark.createDataFrame(rows, "set long, doc_id long, text string").repartition(5)
+    got = jaccard.representatives(docs, jaccard.PIPELINE)
+    assert got.columns == docs.columns
+    of, _ = brute([(k, t) for k, _, t in rows], jaccard.PIPELINE)
+    ids = defaultdict(list)
+    for k, i, _ in rows:
+        ids[of[k]].append(i)
+    kept = [tuple(x) for x in got.collect()]
+    assert sorted(of[k] for k, _, _ in kept) == sorted(ids) and set(kept) <= set(rows)
+    for k, i, _ in kept:
+        assert i == min((x for x in ids[of[k]] if x is not None), default=None)
+    blank = spark.createDataFrame([(0, None, ""), (1, None, ""), (2, None, None), (3, 3, " "), (4, 4, "one")], docs.schema)
+    assert jaccard.representatives(blank, jaccard.PIPELINE).count() == 5
+
+
 @pytest.mark.parametrize("last", [0, 40, 500_000])
 def test_components(spark, last):
     r = random.Random(2)

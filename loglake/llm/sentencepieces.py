@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding through a table of distinct marked words.
 
 The model marks each space and prefixes a text with one mark. Where no piece has a mark after another character, no
-merge crosses from a word into the next mark, nor into a line feed, which no piece holds: a text's pieces are those of its marked words (a run of marks and what
-follows up to the next mark), one after another. Each Python worker keeps a table of the distinct marked words it has
+merge crosses from a word into the next mark, nor into a line feed, which no piece holds: a text's pieces are those of
+its marked words (a run of marks and what follows up to the next mark), one after another. Each Python worker keeps a table of the distinct marked words it has
 met (bounded; cleared when full), segments each of them once, and joins ids and decoded text back by position.
 
 Defined cases: a null text is an empty one; an empty text has only the begin and end ids and decodes to the empty
 text; the character U+2581 in a text is a mark like a space, as in the library. A model whose pieces cross marks is
-encoded text by text instead. Rows are independent: ties, repeated rows and other columns do not matter.
+encoded text by text instead. Whole texts are taken, however long. Rows are independent: ties, repeated rows and other
+columns do not matter; a null doc_id stays null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from loglake.llm.common import slices, table, texts
 
 MARK = "▁"
 MARKED = re.compile(f"[ {MARK}]+[^ {MARK}]*")
+FEED = re.compile("(?=\n)")
 TABLE_ENTRIES = 400_000
 SLICE_BYTES = 2 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -72,8 +74,8 @@ class WordTable:
 
     def words(self, text: str) -> list[str]:
         if MARK in text or "  " in text or text[0] == " ":
-            found = [w[1:].replace(MARK, " ") for w in MARKED.findall(" " + text)]
-            return [k for w in found for k in (w.replace("\n", "\0\n").split("\0") if "\n" in w and "\0" not in text else [w])]
+            found = (w[1:].replace(MARK, " ") for w in MARKED.findall(" " + text))
+            return [k for w in found for k in (FEED.split(w) if "\n" in w else [w])]
         return text.replace("\n", " \n").split(" ")
 
     def encode_all(self, many: list[str]) -> list[tuple[bytes, str | None]]:

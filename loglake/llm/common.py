@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,29 +16,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SAMPLE_BYTES = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, one of our own if driver and
+    executors are one process; on a cluster that would be a folder of each machine, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loglake-")
         atexit.register(shutil.rmtree, found[7:], True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_open: list[list[str]] = []  # the tables of each temporaries() that is open
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loglake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() writes inside are deleted at the end, when what was made of them has been written."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that materialise() wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(spark: SparkSession, name: str, make) -> DataFrame:
+    """make(), written; the tables written on the way are deleted."""
+    with temporaries(spark):
+        out = materialise(make(), name)
+        path = _open[-1].pop()
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
 def texts(column: pa.Array) -> pa.Array:
     """A text column as large strings, null as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -91,13 +130,37 @@ def bucket_of(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep=None) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled documents, the first by a hash of the id: the same rows on every
-    run, spread over all sources. The bound is a parameter of each classifier. One row for each id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str | tuple[str, ...], rows: int, keep=None, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label), or a column for each of several labels, of at most `rows` labelled documents of at most
+    `most_bytes` in all (or one that is longer): the first by a hash of the id, so the same on every run, spread over all
+    sources. Both bounds are parameters of each classifier.
+
+    Ids are joined before they are limited, so labels of unknown documents take no place; an id counts once, with its least
+    text and its highest label. Only ids move in that join. Labels are taken where none of an id's row is null."""
+    names = (label,) if isinstance(label, str) else label
+    kinds = {n: "label" if isinstance(label, str) else n for n in names}
     d = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    y = labels.select("doc_id", F.col(label).cast("double").alias("label")).dropna()
-    y = y.groupBy("doc_id").agg(F.max("label").alias("label"))
+    y = labels.select("doc_id", *(F.col(n).cast("double").alias(k) for n, k in kinds.items())).dropna()
     if keep is not None:
         y = y.where(keep)
-    picked = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return d.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # bounded by `rows`
+    y = y.groupBy("doc_id").agg(*(F.max(k).alias(k) for k in kinds.values()))
+    picked = y.join(d.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return bounded_texts(d, picked, most_bytes)
+
+
+def bounded_texts(docs: DataFrame, picked: DataFrame, most_bytes: int = SAMPLE_BYTES, least=None) -> DataFrame:
+    """picked (doc_id, ...: a bounded number of rows in order of their hash) with a text each: the least of the id's texts,
+    or the one of the least value of the columns `least`; as many rows, in that order, as most_bytes allow."""
+    picked = F.broadcast(picked.withColumn("_order", F.xxhash64("doc_id")))  # bounded by the caller's limit
+    rest = [c for c in picked.columns if c != "doc_id"]
+    one = docs.join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*(least or ()), "text")).alias("_row"), *(F.first(c).alias(c) for c in rest))
+    one = materialise(one.select("doc_id", "_row.*", *rest), "sample")
+    sizes = one.select("doc_id", "_order", F.octet_length("text").alias("n")).collect()  # ids and sizes of the sample
+    total, kept = 0, []
+    for r in sorted(sizes, key=lambda r: (r["_order"], r["doc_id"])):
+        total += r["n"]
+        if kept and total > most_bytes:
+            break
+        kept.append((r["doc_id"],))
+    few = docs.sparkSession.createDataFrame(kept, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    return one.join(F.broadcast(few), "doc_id").drop("_order")

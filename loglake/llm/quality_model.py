@@ -2,10 +2,11 @@
 
 Features of a text: unigrams and bigrams of its tokens (case folded) and n-grams of up to three token shapes, each
 hashed to BITS bits and weighted by its share of the text's tokens. Trained on a bounded sample of labelled documents
-(SAMPLE rows, the first by a hash of the id); every document's whole text is scored.
+(SAMPLE rows and common.SAMPLE_BYTES at most, the first by a hash of the id); every document's whole text is scored.
 
 Defined cases: a null, empty or blank text has no features and gets the training mean as score; without labelled
-documents every score is 0.5; repeated rows get equal scores; other columns do not matter.
+documents every score is 0.5; an id of several rows is learned once, from its least text; repeated rows get equal scores;
+whole texts are scored, however long; a null doc_id stays null; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import bucket_of, labelled_sample, raw, slices, table, texts
+from loglake.llm.common import bucket_of, labelled_sample, raw, slices, table, temporaries, texts
 from loglake.llm.linear import Ftrl, Tokens, grams, index, per_text_sums, sigmoid
 
 BITS = 18
@@ -71,8 +72,9 @@ def _laid(many: list[str]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep=None) -> Model:
-    """keep: a condition on doc_id that training rows meet. The driver holds the sample's texts, in Arrow."""
-    got = labelled_sample(docs, labels, "quality", sample, keep).toPandas().sort_values("doc_id")
+    """keep: a condition on doc_id that training rows meet. The driver holds the sample's texts."""
+    with temporaries(docs.sparkSession):
+        got = labelled_sample(docs, labels, "quality", sample, keep).toPandas().sort_values("doc_id")
     return train(got["text"].tolist(), got["label"].to_numpy(float))
 
 

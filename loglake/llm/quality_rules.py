@@ -1,12 +1,14 @@
 """Quality rules: document statistics, fixed base rules, and gradient-boosted trees over the statistics.
 
-The trees are trained on a bounded sample of labelled documents (SAMPLE rows, the first by a hash of the id), flattened
-into numpy node arrays and applied to all documents at once. The score may not rise with the share of repeated words,
+The trees are trained on a bounded sample of labelled documents (SAMPLE rows and common.SAMPLE_BYTES at most, the first by
+a hash of the id), flattened into numpy node arrays and applied to all documents at once. The score may not rise with the share of repeated words,
 of duplicate lines or of symbols.
 
 Defined cases: a null, empty or blank text has no words and fails the base rules (fewer than 20 words); whole texts are
 measured, however long; without any labelled document the trees keep all that the base rules keep. Labels of unknown
-documents, repeated labels and repeated documents are harmless: rows are scored one by one. Other columns do not matter.
+documents take no place in the sample, and an id of several labels or rows counts once, with its highest label and its
+least text. Rows are scored one by one: repeated ones get equal verdicts, a null doc_id stays null, an empty table gives no
+rows. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loglake.llm import boosting
-from loglake.llm.common import labelled_sample, raw, slices, table, texts
+from loglake.llm.common import labelled_sample, raw, slices, table, temporaries, texts
 from loglake.llm.kernels import Words, span_hashes
 
 SAMPLE = 6000
@@ -143,7 +145,8 @@ def measure(docs: DataFrame, extra: str = "") -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Forest:
     """Trees trained on the statistics of at most `sample` labelled documents: a few numbers a row go to the driver."""
-    rows = measure(labelled_sample(docs, labels, "quality", sample), "label").toPandas().sort_values("doc_id")
+    with temporaries(docs.sparkSession):
+        rows = measure(labelled_sample(docs, labels, "quality", sample), "label").toPandas().sort_values("doc_id")
     s = rows[list(STATS)].to_numpy(np.int64).reshape(-1, len(STATS))
     return boosting.train(features(s), rows["label"].to_numpy(float), tuple(FEATURES.values()))
 

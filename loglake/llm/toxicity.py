@@ -1,31 +1,32 @@
 """Toxicity: a chain of linear models, one category after another.
 
-The chain has CATEGORIES in order; each model sees the text's hashed tokens and their beginnings (of PREFIXES bytes;
-present or not), so that it knows the kin of a word it has met, and the probabilities that the models before it gave. In training those probabilities are out of fold: each earlier model is
-trained on the other folds and predicts the fold it has not seen; for scoring it is trained on all of them. Models are
-sparse logistic regressions (FTRL with L1).
+Each model sees the text's hashed tokens and their beginnings (of PREFIXES bytes; present or not), so that it knows the kin
+of a word it has met, and the probabilities that the models before it gave. In training those probabilities are out of
+fold: each earlier model is trained on the other folds, on targets and features made from these folds alone, and predicts
+the fold it has not seen; for scoring it is trained on all of them. Models are sparse logistic regressions (FTRL with L1).
 
-The tables label toxicity as a whole, so the categories before it are derived from the labelled sample: `marked` (toxic,
-and has a feature that tells toxic documents), `dense` (marked, and the share of such features is above the median of
-marked documents). A labels table with columns of its own for categories can name them instead.
+The categories, in the chain's order, are label columns that the caller names. The tables at hand label toxicity as a whole;
+there CATEGORIES are two steps towards it that are derived from the training rows, then the label: `marked` (toxic, and has a
+feature that tells toxic documents), `dense` (marked, and the share of such features is above the median of marked ones).
 
-Training takes a bounded sample of labelled documents (SAMPLE rows, the first by a hash of the id); every document's whole
-text is scored, however long.
+Training takes a bounded sample of labelled documents (SAMPLE rows and common.SAMPLE_BYTES at most, the first by a hash of
+the id); every document's whole text is scored, however long.
 
 Defined cases: a null, empty or blank text has no tokens and is not toxic; without labelled or without toxic documents
-nothing is toxic; repeated rows get equal verdicts; a null doc_id stays null; other columns do not matter.
+nothing is toxic; an id of several rows is learned once, from its least text; ties and repeated rows get equal verdicts; a
+null doc_id stays null; an empty table gives no rows; other columns, also of the categories' names, do not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm.common import labelled_sample, raw, slices, table, texts, tidy
+from loglake.llm.common import labelled_sample, raw, slices, table, temporaries, texts, tidy
 from loglake.llm.kernels import U
 from loglake.llm.linear import Ftrl, Tokens, grams, index, sigmoid
 
@@ -39,7 +40,6 @@ PREFIXES = (4, 5, 6)
 EVIDENCE = 40.0  # log-likelihood ratio from which a feature counts
 EPOCHS = 8
 CHAIN = 4.0  # value of an earlier probability of 1 as a feature
-SCHEMA = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", score double, toxic boolean"
 
 
 def _laid(many: list[str]):
@@ -82,6 +82,7 @@ class Chain:
     weights: np.ndarray
     before: np.ndarray
     bias: np.ndarray
+    categories: tuple[str, ...] = CATEGORIES
 
     def probabilities(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """A row for each text, a column for each category."""
@@ -110,52 +111,87 @@ class Chain:
         return self._slot
 
 
-def train(many: list[str], y: np.ndarray, folds: int = FOLDS) -> Chain:
-    rows = token_rows(many)
-    marks = telling(rows, y)
+Targets = Callable[[list[np.ndarray], np.ndarray], np.ndarray]
+
+
+def steps(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The targets of CATEGORIES, a column each, made from these rows and their toxicity alone."""
+    toxic = y[:, -1] > 0
+    marks = telling(rows, y[:, -1])
     has = np.array([marks[r].sum() for r in rows], float)
     share = has / np.maximum([len(r) for r in rows], 1)
-    marked = (y > 0) & (has > 0)
+    marked = toxic & (has > 0)
     middle = float(np.median(share[marked])) if marked.any() else 0.0
-    targets = {"marked": marked.astype(float), "dense": (marked & (share > middle)).astype(float), "toxic": (y > 0).astype(float)}
-    size, k = 1 << BITS, len(CATEGORIES)
-    fold = np.arange(len(rows)) % folds
-    earlier = np.zeros((len(rows), k))
-    models = []
-    for c, name in enumerate(CATEGORIES):
-        extra = size + np.arange(c)
-        v = targets[name]
+    return np.stack([marked, marked & (share > middle), toxic], 1).astype(float).reshape(-1, len(CATEGORIES))
 
-        def fit(keep: np.ndarray, held: np.ndarray) -> tuple[Ftrl, np.ndarray]:
-            """A model of the kept rows, on features that tell in them, and its probabilities of the held rows."""
-            tells = telling([rows[i] for i in keep.tolist()], v[keep])
 
-            def full(i: int) -> tuple[np.ndarray, np.ndarray]:
-                r = rows[i][tells[rows[i]]]
-                return np.concatenate([r, extra]), np.concatenate([np.ones(len(r)), CHAIN * earlier[i, :c]])
+def given(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Targets that the labels name themselves."""
+    return (y > 0).astype(float)
 
-            m = Ftrl(size + k, alpha=1.0, l1=L1, l2=0.01).fit([full(i) for i in keep.tolist()], v[keep], epochs=EPOCHS)
-            return m, sigmoid(m.logit([full(i) for i in held.tolist()]))
 
-        for f in range(folds):
+def link(rows: list[np.ndarray], earlier: np.ndarray, v: np.ndarray) -> Ftrl:
+    """One model of the chain: target v, on the features that tell it in these rows and on the probabilities of earlier
+    categories (a column each)."""
+    m = Ftrl((1 << BITS) + earlier.shape[1], alpha=1.0, l1=L1, l2=0.01)
+    return m.fit(_features(rows, earlier, telling(rows, v)), v, epochs=EPOCHS)
+
+
+def _features(rows: list[np.ndarray], earlier: np.ndarray, used: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    extra = (1 << BITS) + np.arange(earlier.shape[1])
+    out = []
+    for r, e in zip(rows, earlier):
+        r = r if used is None else r[used[r]]
+        out.append((np.concatenate([r, extra]), np.concatenate([np.ones(len(r)), CHAIN * e])))
+    return out
+
+
+def out_of_fold(rows: list[np.ndarray], y: np.ndarray, targets: Targets, folds: int = FOLDS) -> np.ndarray:
+    """The probability of each category but the last for each row, from models that have seen neither it nor its fold."""
+    fold = np.arange(len(rows)) % folds
+    kept = [np.flatnonzero(fold != f) for f in range(folds)]
+    aims = [targets([rows[i] for i in k.tolist()], y[k]) for k in kept]
+    out = np.zeros((len(rows), y.shape[1] - 1 if targets is given else len(CATEGORIES) - 1))
+    for c in range(out.shape[1]):
+        for f, (keep, aim) in enumerate(zip(kept, aims)):
             held = np.flatnonzero(fold == f)
-            if len(held) and len(rows) > len(held) and c + 1 < k:
-                earlier[held, c] = fit(np.flatnonzero(fold != f), held)[1]
-        models.append(fit(np.arange(len(rows)), np.arange(0))[0])
-    all_w = np.stack([m.weights() for m in models])
-    at = np.flatnonzero((all_w[:, :size] != 0).any(0))
-    bias = np.array([m.bias if (y > 0).any() else -35.0 for m in models])
-    return Chain(at, all_w[:, at], all_w[:, size:], bias)
+            if len(held) and len(keep):
+                m = link([rows[i] for i in keep.tolist()], out[keep, :c], aim[:, c])
+                out[held, c] = sigmoid(m.logit(_features([rows[i] for i in held.tolist()], out[held, :c])))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    got = labelled_sample(docs, labels, "toxic", sample).toPandas().sort_values("doc_id")
-    return train(got["text"].tolist(), got["label"].to_numpy(float))
+def train(many: list[str], y: np.ndarray, categories: tuple[str, ...] | None = None, folds: int = FOLDS) -> Chain:
+    """y: a column for each of the categories, or, without these, of toxicity alone."""
+    rows, y = token_rows(many), y.reshape(len(many), y.shape[1] if y.ndim > 1 else 1)
+    targets = given if categories else steps
+    names = tuple(categories or CATEGORIES)
+    earlier = out_of_fold(rows, y, targets, folds)
+    aims = targets(rows, y)
+    models = [link(rows, earlier[:, :c], aims[:, c]) for c in range(len(names))]
+    size, k = 1 << BITS, len(names)
+    all_w, before = np.zeros((k, size)), np.zeros((k, k))
+    for c, m in enumerate(models):
+        w = m.weights()
+        all_w[c], before[c, :c] = w[:size], w[size:]
+    at = np.flatnonzero((all_w != 0).any(0))
+    bias = np.array([m.bias if aims[:, c].any() else -35.0 for c, m in enumerate(models)])
+    return Chain(at, all_w[:, at], before, bias, names)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories: tuple[str, ...] | None = None) -> Chain:
+    """categories: columns of labels in the chain's order, the verdict last; without them the column `toxic` and CATEGORIES."""
+    names = tuple(categories or ("toxic",))
+    with temporaries(docs.sparkSession):
+        got = labelled_sample(docs, labels, names, sample).toPandas().sort_values("doc_id")
+    return train(got["text"].tolist(), got[list(names)].to_numpy(float), categories)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the probability of each category, score (of the last) and the verdict of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # as many weights as the bounded sample gives
+    names = ["doc_id", *(f"p_{c}" for c in chain.categories), "score", "toxic"]
+    schema = "doc_id long, " + ", ".join(f"`{n}` double" for n in names[1:-1]) + ", toxic boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,9 +199,9 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             for at, to in slices(text):
                 p = shared.value.probabilities(*raw(text, at, to))
                 cols = [pa.array(x) for x in p.T]
-                yield pa.RecordBatch.from_arrays([b.column(0)[at:to].cast(pa.int64()), *cols, cols[-1], pa.array(p[:, -1] >= threshold)], [x.split()[0] for x in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:to].cast(pa.int64()), *cols, cols[-1], pa.array(p[:, -1] >= threshold)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def accept(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglake.llm import boosting, language, quality_model, quality_rules, toxicity
-from loglake.llm.common import raw, texts
+from loglake.llm.common import labelled_sample, raw, texts
 from loglake.llm.kernels import Words
 from loglake.llm.linear import Ftrl
 
@@ -119,13 +119,75 @@ def test_language_learns(spark):
     assert (got.lang_pred == got.lang).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def byte_grams(t):
+    low = t.translate({i: i + 32 for i in range(65, 91)}).encode()
+    return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+
+def plain_kernel(a, b):
+    a, b = byte_grams(a), byte_grams(b)
+    return len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else 0.0
+
+
 def test_kernel_is_normalised_set_overlap():
-    slot = np.arange(1 << language.HASH_BITS, dtype=np.int32)
-    a, b = "the cat sat", "the mat"
-    x = language.presence(*laid([a, b, a.upper(), ""]), slot, 1 << language.HASH_BITS)
-    grams = lambda t: {t.encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    want = len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
-    assert np.isclose(x[0] @ x[1], want) and np.isclose(x[0] @ x[2], 1) and not x[3].any()
+    marks = ["the cat sat", "the mat", "über ▁😀 é"]
+    many = [*marks, "THE CAT SAT", "", "x", "th", *(t for t in TEXTS if t != LONG)]
+    got = language.Landmarks.of(marks).kernel(language.distinct_grams(*laid(many)), len(many))
+    assert np.allclose(got, [[plain_kernel(a, b) for b in marks] for a in many], atol=1e-6) and np.isclose(got[0, 0], 1)
+
+
+def test_long_texts_in_blocks_have_the_same_ngrams(monkeypatch):
+    many = ["abcabcx" * 9, "", "ab", "zyabc" * 5]
+    want = language.distinct_grams(*laid(many))
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(language.distinct_grams(*laid(many)), want))
+
+
+def test_features_and_regression_equal_a_plain_reading(spark):
+    """Nyström features and one-versus-rest ridge, by sets and dense algebra; landmarks are the first of each language."""
+    docs, _ = docs_and_labels(spark)
+    rows = docs.where("lang in ('en', 'de', 'fr')").orderBy("doc_id").limit(90).collect()
+    many, lang = [r["text"] for r in rows], [r["lang"] for r in rows]
+    names = sorted(set(lang))
+    marks = [t for c in names for t in [x for x, y in zip(many, lang) if y == c][:5]]
+    got = language.train(many, lang, 5)
+    k = np.array([[plain_kernel(a, b) for b in marks] for a in marks])
+    s, u = np.linalg.eigh(k)
+    keep = s > 1e-6 * s.max()
+    root = u[:, keep] @ np.diag(s[keep] ** -0.5) @ u[:, keep].T
+    z = np.array([[plain_kernel(a, b) for b in marks] for a in many]) @ root
+    want = np.zeros((len(many), len(names)))
+    for c, name in enumerate(names):
+        y = np.array([1.0 if x == name else -1.0 for x in lang])
+        w = np.array([1 / lang.count(x) for x in lang])
+        coefficients = np.linalg.solve(z.T @ (w[:, None] * z) + language.RIDGE / len(z) * np.eye(z.shape[1]), z.T @ (w * y))
+        want[:, c] = z @ coefficients
+    found, score, _ = got.predict(*laid(many))
+    assert found == [names[i] for i in want.argmax(1)] and np.allclose(score, np.clip((want.max(1) + 1) / 2, 0, 1), atol=1e-3)
+
+
+def test_language_sample_takes_every_language_and_each_id_once(spark):
+    rows = [(1, "one id on many rows", "en")] * 300 + [(2, "zwei", "de"), (2, "zweite", "de"), (3, "drei", "de"), (None, "x", "fr"), (4, None, "fr"), (5, "cinq", "fr")] + [(i, f"text {i}", "en") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    got = language.sampled(docs, 10).collect()
+    assert len(got) == 10 == len({r["doc_id"] for r in got}) and {r["lang"] for r in got} == {"en", "de", "fr"}
+    assert [r["text"] for r in got if r["doc_id"] == 2] == ["zwei"]
+    again = language.sampled(docs.repartition(3), 10).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_labelled_sample_is_not_starved(spark):
+    """Labels of unknown documents take no place; an id counts once, with its least text; sizes are bounded."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)] + [(7, 0), (None, 1)], "doc_id long, quality int")
+    rows = [(i * 100, f"text {i}") for i in range(50)] + [(7, "b"), (7, "a")] + [(9, "same")] * 200 + [(None, "x"), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["text"], r["label"]) for r in labelled_sample(docs, labels, "quality", 100).collect()}
+    assert len(got) == 52 and got[7] == ("a", 1.0) and got[9] == ("same", 1.0) and got[100] == ("text 1", 0.0)
+    few = labelled_sample(docs, labels, "quality", 20).collect()
+    assert len(few) == 20 and sorted(map(tuple, few)) == sorted(map(tuple, labelled_sample(docs.repartition(2), labels, "quality", 20).collect()))
+    small = labelled_sample(docs, labels, "quality", 100, most_bytes=60).collect()
+    assert 1 < len(small) < 20 and sum(len(r["text"]) for r in small) <= 60
+    assert len(labelled_sample(docs, labels, "quality", 100, most_bytes=1).collect()) == 1
 
 
 def test_language_on_awkward_rows(awkward, nothing):
@@ -231,6 +293,79 @@ def test_chain_feeds_earlier_probabilities():
     assert np.allclose(p, [a, b, s(0.2 + toxicity.CHAIN * (a - 2 * b))])
 
 
+def plain_telling(rows, y):
+    """Indices that are commoner among positive rows than chance allows, one index at a time."""
+    share, out = sum(v > 0 for v in y) / len(y), set()
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    for i in {int(x) for r in rows for x in r}:
+        n = sum(i in set(r.tolist()) for r in rows)
+        k = sum(i in set(r.tolist()) for r, v in zip(rows, y) if v > 0)
+        g = 2 * ((k * np.log(k / (n * share)) if k else 0) + ((n - k) * np.log((n - k) / (n * (1 - share))) if n > k else 0))
+        if k > n * share and g >= toxicity.EVIDENCE:
+            out.add(i)
+    return out
+
+
+def small_insults():
+    r = random.Random(8)
+    many = [prose(r, 12, ["lo", "mi", "ta", "re"]) + (" vilejerk dumbo" if i % 4 == 0 else "") for i in range(120)]
+    return toxicity.token_rows(many), np.array([[float(i % 4 == 0)] for i in range(120)])
+
+
+def test_features_are_the_tokens_and_their_beginnings():
+    rows = toxicity.token_rows(["Alpha alpha beta", "alphabet", "", "beta"])
+    assert [len(r) for r in rows][2] == 0 and len(set(rows[0].tolist()) & set(rows[1].tolist())) == 2  # of 4 and 5 bytes
+    assert set(rows[3].tolist()) < set(rows[0].tolist()) and len(rows[3]) == 1 + len(toxicity.PREFIXES)
+
+
+def test_steps_equal_a_plain_reading():
+    rows, y = small_insults()
+    tells = plain_telling(rows, y[:, 0])
+    assert set(np.flatnonzero(toxicity.telling(rows, y[:, 0])).tolist()) == tells and tells
+    share = [len(tells & set(r.tolist())) / len(r) for r in rows]
+    marked = [bool(v) and s > 0 for v, s in zip(y[:, 0], share)]
+    middle = np.median([s for s, m in zip(share, marked) if m])
+    want = [[m, m and s > middle, v] for m, s, v in zip(marked, share, y[:, 0])]
+    assert toxicity.steps(rows, y).tolist() == np.array(want, float).tolist()
+
+
+def test_out_of_fold_models_have_not_seen_the_fold():
+    """Each row's probabilities are those of a chain trained from the other folds alone, whatever the own fold's labels are."""
+    rows, y = small_insults()
+    got = toxicity.out_of_fold(rows, y, toxicity.steps)
+    fold = np.arange(len(rows)) % toxicity.FOLDS
+    keep, held = np.flatnonzero(fold != 1), np.flatnonzero(fold == 1)
+    aims = toxicity.steps([rows[i] for i in keep], y[keep])
+    m = toxicity.link([rows[i] for i in keep], np.zeros((len(keep), 0)), aims[:, 0])
+    w = m.weights()
+    assert np.allclose(got[held, 0], [1 / (1 + np.exp(-(m.bias + w[rows[i]].sum()))) for i in held])
+    changed = y.copy()
+    changed[held] = 1 - changed[held]
+    assert np.allclose(toxicity.out_of_fold(rows, changed, toxicity.steps)[held, 0], got[held, 0])
+    assert got[(y[:, 0] > 0), 0].mean() > 0.9 > 0.1 > got[(y[:, 0] == 0), 0].mean()
+
+
+def test_categories_of_the_labels(spark):
+    """A labels table with columns of its own: insult, then threat, then toxic (either)."""
+    r = random.Random(3)
+    rows = []
+    for i in range(600):
+        w = prose(r, 30, ["lo", "mi", "ta", "re", "no", "fi"]).split()
+        insult, threat = i % 6 == 0, i % 7 == 0
+        w += ["vilejerk"] * insult + ["willhurtyou"] * threat
+        r.shuffle(w)
+        rows.append((i, " ".join(w), int(insult), int(threat), int(insult or threat)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, insult int, threat int, toxic int")
+    names = ("insult", "threat", "toxic")
+    chain = toxicity.fit(docs, docs.where("doc_id < 400"), categories=names)
+    got = toxicity.score(docs, chain).toPandas().sort_values("doc_id")
+    assert chain.categories == names and list(got.columns) == ["doc_id", "p_insult", "p_threat", "p_toxic", "score", "toxic"]
+    for c, name in enumerate(names):
+        truth = np.array([x[2 + c] for x in rows])[400:]
+        assert (((got[f"p_{name}"].to_numpy() > 0.5)[400:]) == truth).mean() > 0.97
+    assert chain.before[2, :2].max() > 0  # the verdict leans on a category before it
+
+
 def test_toxicity_on_awkward_rows(awkward, nothing, no_labels):
     chain = toxicity.fit(awkward, no_labels)
     got = toxicity.score(awkward, chain).collect()

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 # Fixed values of the format: the zigzag order by diagonals is computed; markers and the scan script are as follows.
 SOI, EOI, SOF2, DHT, DQT, DRI, SOS, COM = 0xD8, 0xD9, 0xC2, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE
+OTHER_FRAMES = (0xC0, 0xC1, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCC, 0xCD, 0xCE, 0xCF)
 #: Scans as written: components, first and last coefficient, high and low bit.
 SCRIPT = (((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0), ((0,), 6, 63, 0, 0), ((0,), 1, 5, 1, 0), ((0, 1, 2), 0, 0, 1, 0))
 SAMPLING = ((2, 2), (1, 1), (1, 1))  # luma at full resolution, chroma at half either way
@@ -315,13 +318,50 @@ class Parsed:
         return (self.shape.sampling, *((s.comps, s.first, s.last, s.high, s.low, s.tables) for s in self.scans))
 
 
-def parse(data: bytes, at: int, marks: np.ndarray) -> Parsed:
-    """The file that begins at `at`; marks: places in data of markers that end an entropy-coded segment."""
+#: A marker that ends an entropy-coded segment: no stuffing, no restart.
+ENDING = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]", re.S)
+
+
+def images(data: bytes) -> Iterator[tuple[int, int]]:
+    """Begin and end of each image of a file that holds one or more, end to end: markers alone are looked at."""
+    at = 0
+    while at < len(data):
+        begin, at = at, at + 2
+        if data[begin:at] != b"\xff\xd8":
+            raise ValueError("not a JPEG file")
+        while True:
+            while data[at : at + 2] == b"\xff\xff":  # fill bytes
+                at += 1
+            marker, size = data[at : at + 2], int.from_bytes(data[at + 2 : at + 4], "big")
+            if marker == b"\xff\xd9":
+                at += 2
+                break
+            if len(marker) < 2 or marker[0] != 0xFF or size < 2:
+                raise ValueError("a JPEG file that ends early or is damaged")
+            at += 2 + size
+            if marker[1] == SOS:
+                found = ENDING.search(data, at)
+                if found is None:
+                    raise ValueError("a JPEG file that ends early or is damaged")
+                at = found.start()
+        yield begin, at
+
+
+def parse(data: bytes, at: int) -> Parsed:
+    """The head and scans of the image that begins at `at`: progressive, of eight-bit samples in one component or three."""
+    try:
+        return _parse(data, at)
+    except (IndexError, KeyError) as e:
+        raise ValueError("a JPEG file that ends early or is damaged") from e
+
+
+def _parse(data: bytes, at: int) -> Parsed:
     out, dc, ac, q, interval, frame = Parsed(), {}, {}, {}, 0, []
-    if data[at : at + 2] != b"\xff\xd8":
-        raise ValueError("not a JPEG file")
     at += 2
     while data[at + 1] != EOI:
+        if data[at + 1] == 0xFF:
+            at += 1
+            continue
         marker, n = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
         body, at = data[at + 4 : at + 2 + n], at + 2 + n
         if marker == DQT:
@@ -338,22 +378,33 @@ def parse(data: bytes, at: int, marks: np.ndarray) -> Parsed:
             interval = int.from_bytes(body, "big")
         elif marker == COM:
             out.note = body
+        elif marker in OTHER_FRAMES:
+            raise ValueError("not a progressive JPEG file")
         elif marker == SOF2:
+            if body[0] != 8 or body[5] not in (1, 3):
+                raise ValueError(f"samples of {body[0]} bits in {body[5]} components; known are 8 bits in 1 or 3")
             out.height, out.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             frame = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            if not out.height or not out.width or not all(0 < v <= 4 for f in frame for v in f[1:3]):
+                raise ValueError("a frame without a size or with odd sampling")
             hmax, vmax = max(f[1] for f in frame), max(f[2] for f in frame)
+            if any(hmax % f[1] or vmax % f[2] for f in frame):
+                raise ValueError("sampling that does not divide that of the finest component")
             out.shape = Shape(-(-out.width // (8 * hmax)), -(-out.height // (8 * vmax)), tuple((f[1], f[2]) for f in frame))
-        elif marker in (0xC0, 0xC1, 0xC3):
-            raise ValueError("not a progressive JPEG file")
         elif marker == SOS:
             names = [f[0] for f in frame]
+            if any(body[1 + 2 * i] not in names for i in range(body[0])):
+                raise ValueError("a scan of a component that the frame does not have")
             comps = tuple(names.index(body[1 + 2 * i]) for i in range(body[0]))
             picks = [body[2 + 2 * i] for i in range(body[0])]
             first, last, bits = body[1 + 2 * body[0] : 4 + 2 * body[0]]
-            used = tuple((dc.get(p >> 4), None) if first == 0 else (None, ac.get(p & 15)) for p in picks)
-            end = int(marks[np.searchsorted(marks, at)])
-            out.scans.append(Scan(comps, first, last, bits >> 4, bits & 15, used, interval, at, end))
+            high, low = bits >> 4, bits & 15
+            used = tuple((dc[p >> 4] if not high else None, None) if first == 0 else (None, ac[p & 15]) for p in picks)
+            end = ENDING.search(data, at).start()
+            out.scans.append(Scan(comps, first, last, high, low, used, interval, at, end))
             at = end
+    if out.shape is None:
+        raise ValueError("a JPEG file without a frame")
     out.quantisers, out.end = [q[f[3]] for f in frame], at + 2
     return out
 
@@ -361,17 +412,13 @@ def parse(data: bytes, at: int, marks: np.ndarray) -> Parsed:
 def parse_all(files: list[bytes]) -> tuple[np.ndarray, list[Parsed], list[int]]:
     """All images' bytes, their heads, and the file of each: a file may hold several images, end to end."""
     data = b"".join(files)
-    b = np.frombuffer(data, np.uint8)
-    ff = np.flatnonzero(b[:-1] == 0xFF)
-    after = b[ff + 1]
-    marks = ff[(after != 0) & (after != 0xFF) & ((after < 0xD0) | (after > 0xD7))]
-    heads, of, at = [], [], 0
-    for i, end in enumerate(itertools.accumulate(map(len, files))):
-        while at < end:
-            heads.append(parse(data, at, marks))
+    heads, of, base = [], [], 0
+    for i, f in enumerate(files):
+        for begin, _ in images(f):
+            heads.append(parse(data, base + begin))
             of.append(i)
-            at = heads[-1].end
-    return b, heads, of
+        base += len(f)
+    return np.frombuffer(data, np.uint8), heads, of
 
 
 class Streams:

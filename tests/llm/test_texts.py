@@ -72,6 +72,41 @@ def test_media_of_all_bytes_and_tiles():
     assert [p for p, _ in media.read(media.write(payloads))] == payloads
 
 
+def test_media_needs_memory_for_the_payload_alone():
+    """Beside payload and media value, what a long payload needs does not grow with it."""
+    import tracemalloc
+
+    def peak(n):
+        payload = media.padded(b"some words of a text\n" * (n // 21))
+        tracemalloc.start()
+        ((back, _),) = media.read(media.write([payload]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert back == payload
+        return most
+
+    assert peak(6 << 20) - peak(2 << 20) < 4 * (4 << 20)
+
+
+def _frame_of(m):
+    at = m.index(b"\xff\xc2")
+    return at, at + 2 + int.from_bytes(m[at + 2 : at + 4], "big")
+
+
+def test_other_files_are_refused(spark):
+    (m,) = media.write([b"a" * 384])
+    at, end = _frame_of(m)
+    four = m[at + 4 : at + 9] + b"\x04" + m[at + 10 : end] + b"\x04\x11\x00"
+    bad = [b"plain", m[:-30], m[:40], b"\xff\xd8\xff\xd9"]
+    bad += [m[:at] + bytes([0xFF, kind]) + m[at + 2 :] for kind in (0xC0, 0xC1, 0xC3, 0xC5, 0xC9, 0xCA, 0xCF)]
+    bad += [m[:at] + b"\xff\xc2" + (len(four) + 2).to_bytes(2, "big") + four + m[end:], m[: at + 4] + b"\x0c" + m[at + 5 :], m.replace(b"\xff\xdb", b"\xff\xe0", 1)]
+    for x in bad:
+        with pytest.raises(ValueError):
+            progressive.decode([x])
+    filled = m[:at] + b"\xff\xff" + m[at:]  # fill bytes before a marker are allowed
+    assert media.read([filled])[0][0] == b"a" * 384
+
+
 def test_media_alone_as_among_others():
     alone = [media.write([media.padded(t.encode())])[0] for t in TEXTS[:8]]
     assert media.write([media.padded(t.encode()) for t in TEXTS[:8]]) == alone
@@ -211,13 +246,13 @@ def ids_of(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # with its default settings
     return t.encode(text, add_special_tokens=False).ids + [0]
 
 
 def test_chunks_equal_the_tokenizer():
-    t = packing.ChunkTable(packing.default_vocabulary(), entries=50)
+    vocabulary = packing.default_vocabulary()
+    t = packing.ChunkTable(vocabulary, 50, packing.added_tokens(vocabulary))
     odd = ["a\n b", "\nx", "a \n\n  b\n", " \n", "\n", "  ", "don't I'll x 12 34", "a  b", "a b", "<|endoftext|> x"]
     for x in TEXTS[:-1] + odd:
         assert np.frombuffer(t.encode_all([x])[0], "<u2").tolist() == ids_of(x)[:-1], x

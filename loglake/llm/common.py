@@ -76,6 +76,33 @@ def settled(spark: SparkSession, name: str, make) -> DataFrame:
     return out
 
 
+CROWDED = 100_000
+LEAST_CROWD = 10_000
+
+
+def crowded(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys of more than 1 / CROWDED of the rows, and of more than LEAST_CROWD of them, with their number n: fewer than
+    CROWDED, so small enough to broadcast whatever the input."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("all"))
+    return counted.join(F.broadcast(total), F.col("n") > F.greatest(F.col("all") / CROWDED, F.lit(LEAST_CROWD)), "left_semi")  # one row
+
+
+def joined(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to side (one row a key). Rows of crowded keys find theirs in a broadcast; in the shuffle of the others
+    they, and those of a null key, are dealt out under keys that match nothing."""
+    names = [c for c in side.columns if c != key]
+    hot = F.broadcast(crowded(rows, key).select(F.col(key).alias("_hot")))
+    few = F.broadcast(side.join(hot, F.col(key) == F.col("_hot")).select("_hot", F.struct(*names).alias("_few")))  # fewer than CROWDED
+    out = rows.join(few, F.col(key) == F.col("_hot"), "left")
+    alone = F.col("_few").isNotNull() | F.col(key).isNull()
+    out = out.withColumns({"_alone": alone, "_key": F.when(alone, F.xxhash64(F.monotonically_increasing_id()).cast(rows.schema[key].dataType)).otherwise(F.col(key))})
+    rest = side.select(F.col(key).alias("_other"), F.struct(*names).alias("_rest"), F.lit(False).alias("_shared"))
+    out = out.join(rest, (F.col("_key") == F.col("_other")) & (F.col("_alone") == F.col("_shared")), "left")
+    found = F.coalesce("_few", "_rest")
+    return out.select(*rows.columns, *(found[c].alias(c) for c in names))
+
+
 def texts(column: pa.Array) -> pa.Array:
     """A text column as large strings, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from loglake.llm.common import materialise, raw, slices, table, texts, tidy
+from loglake.llm.common import joined, materialise, raw, settled, slices, table, texts, tidy
 from loglake.llm.components import components, forest
 from loglake.llm.kernels import ODD, U, Words, mix
 
@@ -45,7 +45,8 @@ SLICE_BYTES = 1 << 19
 BLOCK_BYTES = 2 << 20
 BLOCK_SETS = 1024
 SKETCH_BLOCK_SETS = 4096
-BLOOM_BITS = 1 << 26
+BLOOM_MEMBER_BITS = 16
+BLOOM_LEAST, BLOOM_MOST = 20, 28  # powers of two: bits of a Bloom filter
 BLOOM_HASHES = 4
 MET_SETS = 1 << 18
 HELD_CELLS = 1 << 19
@@ -217,6 +218,8 @@ def candidates(docs: DataFrame, sim: Similarity) -> DataFrame:
                     yield from out()
                     held, n = [], 0
                     met.clear()
+                elif len(met) > MET_SETS:  # sets of few shingles emit no cells
+                    met.clear()
         if held:
             yield from out()
 
@@ -313,43 +316,48 @@ def _linked(a: np.ndarray, b: np.ndarray, sim: Similarity) -> bool:
     return common * sim.den >= sim.num * (len(a) + len(b) - common)
 
 
-def _places(f: np.ndarray) -> np.ndarray:
-    """BLOOM_HASHES places in the Bloom filter for each fingerprint, a row each."""
+def _places(f: np.ndarray, power: int) -> np.ndarray:
+    """BLOOM_HASHES places in a Bloom filter of 2**power bits for each fingerprint, a row each."""
     v = f.astype(np.int64).view(np.uint64)
-    return np.stack([mix(v + U(i + 1) * ODD) >> U(64 - BLOOM_BITS.bit_length() + 1) for i in range(BLOOM_HASHES)], 1).astype(np.int64)
+    with np.errstate(over="ignore"):
+        steps = np.arange(1, BLOOM_HASHES + 1, dtype=np.uint64) * ODD
+    return (mix(v[:, None] + steps) >> U(64 - power)).astype(np.int64)
 
 
 def _bloom(members: DataFrame) -> np.ndarray:
-    """A Bloom filter over the members' sets, a bit each: tasks emit the words they set, which are merged by or."""
+    """A Bloom filter over the members' sets, of BLOOM_MEMBER_BITS bits a member between its bounds: tasks emit the words they
+    set, which are merged by or. Past the upper bound it lets more strangers through, which a join then removes."""
+    count = members.count()
+    power = min(max((count * BLOOM_MEMBER_BITS).bit_length(), BLOOM_LEAST), BLOOM_MOST)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _places(b.column(0).to_numpy()).ravel()
+            at = _places(b.column(0).to_numpy(), power).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
     merged = members.select("set").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    got = merged.toPandas()
-    out = np.zeros(BLOOM_BITS >> 6, np.uint64)
+    got = merged.toPandas()  # at most 2**power / 64 rows
+    out = np.zeros(1 << power - 6, np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
 def _in_bloom(bloom: np.ndarray, f: np.ndarray) -> np.ndarray:
-    at = _places(f)
+    at = _places(f, (64 * len(bloom)).bit_length() - 1)
     return ((bloom[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).all(1)
 
 
 def _blocked(groups: DataFrame, size: Column) -> DataFrame:
     """(set, component, blocks, block) of groups: each component in as many blocks as `size` (an aggregate) asks for."""
     shape = groups.groupBy("component").agg(size.cast("int").alias("blocks"))
-    members = groups.select("set", "component").join(shape, "component")
+    members = joined(groups.select("set", "component"), shape, "component")
     return members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
 
 
 def _compared(docs: DataFrame, members: DataFrame, sim: Similarity, payload, compare) -> DataFrame:
     """compare(sets, side, payloads) -> (u, v) over all pairs of blocks of each component; payload(hashes) is what a set
-    brings along. The texts are read again; a Bloom filter of fixed size keeps those of other sets out of the shuffle."""
-    maybe = docs.sparkSession.sparkContext.broadcast(_bloom(members))  # BLOOM_BITS bits, whatever the input
+    brings along. The texts are read again; a Bloom filter of bounded size keeps those of other sets out of the shuffle."""
+    maybe = docs.sparkSession.sparkContext.broadcast(_bloom(members))  # 2**BLOOM_MOST bits at most
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -436,14 +444,14 @@ def near_within(sketches: list[np.ndarray], n: np.ndarray, ids: np.ndarray, side
 def refined(docs: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
     """groups (set, n_shingles, component), those of more than a block replaced by the components of what the sketches
     alone do not rule out: shared passages chain strangers into one group, and sketches are small enough to compare all."""
-    large = groups.groupBy("component").agg(_blocks_needed().alias("blocks")).where("blocks > 1").select("component")
+    large = groups.groupBy("component").agg(_blocks_needed().alias("blocks")).where("blocks > 1")
     if large.isEmpty():
         return groups
-    large = materialise(large, "large")
-    members = materialise(_blocked(groups.join(large, "component", "left_semi"), F.ceil(F.count("*") / SKETCH_BLOCK_SETS)), "large-members")
+    marked = materialise(joined(groups, large, "component"), "marked")
+    members = materialise(_blocked(marked.where("blocks is not null").drop("blocks"), F.ceil(F.count("*") / SKETCH_BLOCK_SETS)), "large-members")
     near = components(_compared(docs, members, sim, sketched, near_within)).select(F.col("node").alias("set"), F.col("component").alias("component"))
-    split = groups.drop("component").join(near, "set").select(*groups.columns)
-    return materialise(groups.join(large, "component", "left_anti").select(*groups.columns).union(split), "refined")
+    split = marked.drop("component").join(near, "set").select(*groups.columns)
+    return materialise(marked.where("blocks is null").select(*groups.columns).union(split), "refined")
 
 
 def _blocks_needed() -> Column:
@@ -463,15 +471,25 @@ def classes(docs: DataFrame, sim: Similarity) -> DataFrame:
 
 def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
     """classes(), and linked: the component as one of its sets, as component_id may be null or of several components."""
+    spark = docs.sparkSession
+    return settled(spark, "classes", lambda: _linked_rows(docs, sim))
+
+
+def _linked_rows(docs: DataFrame, sim: Similarity) -> DataFrame:
+    spark = docs.sparkSession
     rows = materialise(sized(docs, sim), "sets")
-    found = components(candidates(docs, sim))
     first = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    groups = materialise(first.join(found.select(F.col("node").alias("set"), "component"), "set").select("set", "n_shingles", "component"), "groups")
-    final = components(links(docs, groups, sim)).select(F.col("node").alias("set"), F.col("component").alias("linked"))
+
+    def grouped() -> DataFrame:
+        found = components(candidates(docs, sim))
+        return first.join(found.select(F.col("node").alias("set"), "component"), "set").select("set", "n_shingles", "component")
+
+    groups = settled(spark, "groups", grouped)
+    final = settled(spark, "final", lambda: components(links(docs, groups, sim)).select(F.col("node").alias("set"), F.col("component").alias("linked")))
     named = first.select("set", F.col("doc_id").alias("own")).join(final, "set", "left").withColumn("linked", F.coalesce("linked", "set"))
     least = named.groupBy("linked").agg(F.min("own").alias("least"))
-    named = named.join(least, "linked").select("set", "linked", F.col("least").alias("component_id"))
-    return rows.join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set", "linked")
+    named = joined(named, least, "linked").select("set", "linked", F.col("least").alias("component_id"))
+    return joined(rows, named, "set").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set", "linked")
 
 
 def _with_set(docs: DataFrame, sim: Similarity, name: str) -> DataFrame:
@@ -493,7 +511,7 @@ def representatives(docs: DataFrame, sim: Similarity) -> DataFrame:
     """docs with its own columns, one row of each component: that of its smallest doc_id (null last), and of several such
     rows that of the smallest set, then of the smallest hash of the text. Rows without words stay, but of those with one
     doc_id and equal texts one does."""
-    found = materialise(linked(docs, sim), "classes")
+    found = linked(docs, sim)
     each = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "doc_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
     left = docs.join(each.where("gone or n > 1").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     again, unnamed = each.where("n > 1").select("doc_id"), found.where("doc_id is null")

@@ -12,8 +12,8 @@ damping each round, so there are at most rounds() of them, and none is saved by
 count as ties.
 
 Scores are aggregated before each shuffle. Edges are distinct pairs of hosts, so a host with a third of all pages is one
-row. Joins whose rows may crowd on one host (its pages, its links) take the hosts with more than a share of the rows apart:
-at most CROWDED of them, joined by broadcast, or their links dealt to several salts.
+row. Joins whose rows may crowd on one host (its pages, its links) take the hosts with more than a share of the rows apart
+(common.crowded): they are joined by broadcast, or their links dealt to several salts.
 
 Defined cases: a null url or one without `://` has empty host and path, fits no rule and is blocked, as nothing vouches
 for it; a null html has no links, a very long one is read whole; repeated rows each count; a host without seeds or links
@@ -27,7 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import materialise, settled, table
+from loglake.llm import common
+from loglake.llm.common import crowded, joined, materialise, settled, table
 
 # The rules, as (host and path, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -36,8 +37,6 @@ URL = r"://([^/?#]*)([^?#]*)"
 LINK = r"""[hH][rR][eE][fF]\s*=\s*["']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
 TOLERANCE = 1e-6
-CROWDED = 100_000
-LEAST_CROWD = 10_000
 
 
 def rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
@@ -71,29 +70,6 @@ def said(rules=RULES) -> Column:
     return out
 
 
-def crowded(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys of more than 1 / CROWDED of the rows, and of more than LEAST_CROWD of them, with their number n: fewer than
-    CROWDED, so small enough to broadcast whatever the input."""
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("all"))
-    return counted.join(F.broadcast(total), F.col("n") > F.greatest(F.col("all") / CROWDED, F.lit(LEAST_CROWD)), "left_semi")
-
-
-def with_host(rows: DataFrame, side: DataFrame, key: str, spread: str) -> DataFrame:
-    """rows left-joined to side (one row a key). Rows of crowded keys find theirs in a broadcast, and take part in the shuffle
-    of the others under keys that match nothing, dealt by the column `spread`."""
-    hot = F.broadcast(crowded(rows, key).select(F.col(key).alias("_hot")))  # fewer than CROWDED
-    names = [c for c in side.columns if c != key]
-    few = F.broadcast(side.join(hot, F.col(key) == F.col("_hot")).select("_hot", F.struct(*names).alias("_few")))
-    out = rows.join(hot, F.col(key) == F.col("_hot"), "left")
-    out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("?"), F.xxhash64(spread).cast("string"))))
-    out = out.join(few.withColumnRenamed("_hot", "_at"), F.col("_hot") == F.col("_at"), "left")
-    rest = side.select(F.col(key).alias("_other"), F.struct(*names).alias("_rest"))
-    out = out.join(rest, F.col("_key") == F.col("_other"), "left")
-    found = F.coalesce("_few", "_rest")
-    return out.select(*rows.columns, *(found[c].alias(c) for c in names))
-
-
 def edges(pages: DataFrame) -> DataFrame:
     """(source, target, share): distinct links between hosts, shares of a source adding up to 1. Columns host and html."""
     links = pages.where(F.col("html").contains("//") & (F.col("host") != ""))
@@ -101,7 +77,7 @@ def edges(pages: DataFrame) -> DataFrame:
     links = links.withColumn("target", F.translate("target", UPPER, LOWER)).where("source <> target")
     counted = materialise(links.groupBy("source", "target").agg(F.count("*").alias("n")), "links")
     total = counted.groupBy("source").agg(F.sum("n").alias("total"))
-    return with_host(counted, total, "source", "target").select("source", "target", (F.col("n") / F.col("total")).alias("share"))
+    return joined(counted, total, "source").select("source", "target", (F.col("n") / F.col("total")).alias("share"))
 
 
 def seeds(judged: DataFrame) -> DataFrame:
@@ -117,7 +93,7 @@ def flows(links: DataFrame) -> DataFrame:
     salts; next_salts says how many the next host has."""
     links = materialise(links, "edges")
     incoming = links.groupBy("target").agg(F.sum("share").alias("total"))
-    back = with_host(links, incoming, "target", "source").select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("next"), (F.col("share") / F.col("total")).alias("share"))
+    back = joined(links, incoming, "target").select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("next"), (F.col("share") / F.col("total")).alias("share"))
     both = materialise(links.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("next"), "share").union(back), "both")
     return dealt(dealt(both, "next", "next_salts").withColumn("next_salts", F.coalesce("next_salts", F.lit(1))), "host", "salts", both).select(
         "kind", "host", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("next"), F.col("salts"))).cast("int").alias("salt"), "next", "next_salts", "share"
@@ -126,7 +102,7 @@ def flows(links: DataFrame) -> DataFrame:
 
 def dealt(rows: DataFrame, host: str, name: str, links: DataFrame | None = None) -> DataFrame:
     """rows with the number of salts that the kind's host in column `host` has by its links, null for one."""
-    hot = crowded(links or rows, "kind", "host").select(F.col("kind").alias("_kind"), F.col("host").alias("_host"), F.ceil(F.col("n") / LEAST_CROWD).cast("int").alias(name))
+    hot = crowded(links or rows, "kind", "host").select(F.col("kind").alias("_kind"), F.col("host").alias("_host"), F.ceil(F.col("n") / common.LEAST_CROWD).cast("int").alias(name))
     return rows.join(F.broadcast(hot), (F.col("kind") == F.col("_kind")) & (F.col(host) == F.col("_host")), "left").drop("_kind", "_host")
 
 
@@ -170,7 +146,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         score = propagate(seeds(ruled), edges(named))
         return score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(-F.col("score"))).alias("lead"))
 
-    found = with_host(ruled.drop("html"), settled(pages.sparkSession, "leads", leads), "host", "page_id")
+    found = joined(ruled.drop("html"), settled(pages.sparkSession, "leads", leads), "host")
     by_host = F.when((F.col("host") == "") | (F.coalesce("lead", F.lit(0.0)) < -TOLERANCE), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("said", by_host).alias("verdict"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loglake.llm import components, jaccard, registry, url_filter
+from loglake.llm import common, components, jaccard, registry, url_filter
 from loglake.llm.common import materialise
 
 from .conftest import prose
@@ -186,6 +186,38 @@ def test_components(spark, last):
 def test_materialise_survives_in_the_shared_folder(spark):
     df = materialise(spark.range(10), "x")
     assert df.inputFiles()[0].startswith("file:") and df.count() == 10
+    made = []
+
+    def make():
+        made.append(materialise(spark.range(5), "inner"))
+        return made[0].where("id > 1")
+
+    with common.temporaries(spark):
+        out = common.settled(spark, "outer", make)
+        assert out.count() == 3 and not os.path.exists(made[0].inputFiles()[0][7:])
+        at = out.inputFiles()[0][7:]
+    assert not os.path.exists(at) and df.count() == 10
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda k, d=None: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
+@pytest.mark.parametrize("least", [3, 10_000])
+def test_joined_is_a_left_join_whatever_the_crowd(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "LEAST_CROWD", least)
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 50 + ["b"] * 2 + ["c"] * 9 + [None] * 6 + ["d"])], "i int, k string")
+    side = spark.createDataFrame([("a", 1, None), ("b", 2, "x"), ("d", 4, "z"), ("e", 5, "w")], "k string, v int, w string")
+    got = common.joined(rows, side, "k")
+    assert got.columns == ["i", "k", "v", "w"] and sorted(map(str, got.collect())) == sorted(map(str, rows.join(side, "k", "left").select("i", "k", "v", "w").collect()))
 
 
 # ---- op4 ----
@@ -242,9 +274,9 @@ def plain_scores(links, start, damping=url_filter.DAMPING):
 @pytest.mark.parametrize("crowd", [10_000, 2])
 def test_scores_equal_personalised_pagerank(spark, monkeypatch, crowd):
     """Also with hosts that count as crowded, whose links are dealt to salts."""
-    monkeypatch.setattr(url_filter, "LEAST_CROWD", crowd)
+    monkeypatch.setattr(common, "LEAST_CROWD", crowd)
     if crowd < 10:
-        monkeypatch.setattr(url_filter, "CROWDED", 20)
+        monkeypatch.setattr(common, "CROWDED", 20)
     r = random.Random(4)
     links = sorted({(f"h{r.randrange(12)}", f"h{r.randrange(12)}") for _ in range(40)} | {("hub", f"h{i}") for i in range(12)} | {(f"h{i}", "end") for i in range(0, 12, 3)})
     links = [x for x in links if x[0] != x[1]]
@@ -277,9 +309,9 @@ def test_trust_and_distrust_go_all_the_way(spark):
 def test_url_query_on_linked_pages_equals_sql(spark, tmp_path, monkeypatch, crowd):
     """The registered query over a table with links, repeated rows, a very long html and a host with most pages."""
     duckdb = pytest.importorskip("duckdb")
-    monkeypatch.setattr(url_filter, "LEAST_CROWD", crowd)
+    monkeypatch.setattr(common, "LEAST_CROWD", crowd)
     if crowd < 10:
-        monkeypatch.setattr(url_filter, "CROWDED", 8)
+        monkeypatch.setattr(common, "CROWDED", 8)
     rows = linked_pages(12) + PAGES + [("http://hot.net/p", None)] * 60 + [("http://hot.net/q", '<a href="http://friend.net/">')] * 3
     rows.append(("http://long.net/", "x " * 200_000 + '<a href="http://c3.net/">' + " y" * 200_000))
     rows = [(i, u, h, "k") for i, (u, h) in enumerate(rows)] + [(0, "http://good.org/x", '<a href="http://t1.net/">', None), (None, "http://c2.net/", None, None)]

@@ -1,6 +1,6 @@
 """Token packing: documents into sequences of a fixed window with next to no padding.
 
-1. Each document is encoded once, through a bounded table of its distinct space-led chunks, and gets id 0 at its end.
+1. Each document is encoded once and gets id 0 at its end. A very long text is encoded part by part.
    Whole windows of a long document are sequences by themselves; what remains is a piece shorter than the window.
    Pieces go to a written table, each with its partition and its rank among equally long pieces of that partition.
 2. The histogram of piece lengths (as many bins as the window, whatever the input) goes to the driver. All pairs and
@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 from loglake.llm.common import materialise, slices, table, texts
 
 WINDOW = 1024
-TABLE_ENTRIES = 400_000
 ROUNDS = 400
 OWN = 1 << 62  # sequence ids of whole windows start here, 2**36 for each partition
-# The code points of white space other than space and line feed, and NUL, which marks a key.
-ODD_SPACES = (0, 9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-ODD_SPACE = re.compile("[" + "".join(map(re.escape, map(chr, ODD_SPACES))) + "]")
+PART = 1 << 20
+#: Where a text may be cut: the vocabulary's pattern never joins a character to a white space that follows it.
+CUT = re.compile(r"(?<=[!-~])[ \n]")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,17 +61,13 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in found}
 
 
-class ChunkTable:
-    """Chunk of text -> its ids as 16-bit integers (a vocabulary of up to 65,536).
-
-    The vocabulary's pattern never joins a character to a white space that follows it, so a text whose white spaces stand
-    alone is the concatenation of its chunks, each a space or line feed and what follows. Other texts are encoded whole.
-    A key is a chunk without its leading space; a line feed stays; a text's first chunk has NUL in front.
+class Encoder:
+    """Texts to ids as 16-bit integers (a vocabulary of up to 65,536).
 
     added: tokens beyond the ranks. A text is cut at them, the longest first, before anything else; each is its id.
     """
 
-    def __init__(self, vocabulary: str, entries: int = TABLE_ENTRIES, added: dict[str, int] | None = None):
+    def __init__(self, vocabulary: str, added: dict[str, int] | None = None, part: int = PART):
         import base64
 
         import public_tokenizers
@@ -81,44 +76,29 @@ class ChunkTable:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.entries, self.ids = entries, {}
+        self.part = part
         self.added = {a: np.array([i], "<u2").tobytes() for a, i in (added or {}).items()}
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+    def encode(self, text: str) -> bytes:
+        if not any(a in text for a in self.added):
+            return self._plain(text)
+        return b"".join(self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(self.cuts.split(text)))  # tokens at odd places
 
-    def _encode(self, key: str) -> bytes:
-        return self._whole(key if key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key)
-
-    def encode_all(self, many: list[str]) -> list[bytes]:
-        cut = {i: self.cuts.split(x) for i, x in enumerate(many) if any(a in x for a in self.added)}
-        if not cut:
-            return self._encode_all(many)
-        parts = [cut.get(i, [x]) for i, x in enumerate(many)]
-        plain = iter(self._encode_all([x for xs in parts for x in xs[::2]]))  # the tokens are at the odd places
-        return [b"".join(self.added[x] if i % 2 else next(plain) for i, x in enumerate(xs)) for xs in parts]
-
-    def _encode_all(self, many: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for x in many:
-            if "  " in x or "\n\n" in x or " \n" in x or "\n " in x or ODD_SPACE.search(x):
-                split.append(None)
-            else:
-                split.append(("\0" + x).replace("\n", " \n").split(" "))
-        need = set().union(*(w for w in split if w))
-        missing = need - self.ids.keys()
-        if len(self.ids) + len(missing) > self.entries:
-            self.ids.clear()
-            missing = need
-        self.ids.update((w, self._encode(w)) for w in missing)
-        ids = self.ids.__getitem__
-        return [self._whole(x) if w is None else b"".join(map(ids, w)) for x, w in zip(many, split)]
+    def _plain(self, text: str) -> bytes:
+        out, at = [], 0
+        while len(text) - at > self.part and (m := CUT.search(text, at + self.part)):
+            out.append(self._ids(text[at : m.start()]))
+            at = m.start()
+        return b"".join(out) + self._ids(text[at:])
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
 
 
 @functools.lru_cache(2)
-def chunk_table(vocabulary: str) -> ChunkTable:
-    return ChunkTable(vocabulary, added=added_tokens(vocabulary))
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary, added_tokens(vocabulary))
 
 
 def crc(ids: np.ndarray) -> int:
@@ -131,14 +111,14 @@ def tokenise(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFram
     and piece (its ids, 16-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part = chunk_table(vocabulary), TaskContext.get().partitionId()
+        t, part = encoder(vocabulary), TaskContext.get().partitionId()
         met = [0] * window
         whole = 0
         for b in batches:
             text = texts(b.column(1))
             for at, to in slices(text, 2 << 20):
                 cols: list[list] = [[] for _ in range(6)]
-                for raw in t.encode_all(text[at:to].to_pylist()):
+                for raw in map(t.encode, text[at:to].to_pylist()):
                     ids = np.frombuffer(raw + b"\0\0", "<u2")
                     n, k = len(ids), len(ids) // window
                     left = n - k * window
@@ -227,17 +207,49 @@ class Plan:
         self.stream = np.concatenate([[0], np.cumsum(rest * np.arange(window))])[:-1]
         self.cut_tokens = int((rest * np.arange(window)).sum())
 
-    def places(self, length: int, rank: int) -> list[tuple[int, int, int]]:
-        """(sequence, offset there, tokens) for each part of a piece."""
-        ranks = self.ranks[length]
-        if rank < ranks[-1]:
-            e = int(np.searchsorted(ranks, rank, "right")) - 1
-            return [(int(self.base[length][e] + rank - ranks[e]), int(self.at[length][e]), length)]
-        at = int(self.stream[length]) + int(rank - ranks[-1]) * length
-        sequence, offset = self.planned + at // self.window, at % self.window
-        if offset + length <= self.window:
-            return [(sequence, offset, length)]
-        return [(sequence, offset, self.window - offset), (sequence + 1, 0, offset + length - self.window)]
+    def places(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece its sequence, offset there, and how many of its tokens go there; the rest begins the next one."""
+        sequence, offset, n = np.zeros((3, len(length)), np.int64)
+        order = np.argsort(length, kind="stable")
+        cuts = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = order[a:b]
+            size, own = int(length[at[0]]), rank[at]
+            ranks = self.ranks[size]
+            e = np.minimum(np.searchsorted(ranks, own, "right"), len(ranks)) - 1
+            taken = own < ranks[-1]
+            place = self.stream[size] + (own - ranks[-1]) * size
+            sequence[at], offset[at] = self.planned + place // self.window, place % self.window
+            if taken.any():
+                hit = at[taken]
+                sequence[hit] = self.base[size][e[taken]] + own[taken] - ranks[e[taken]]
+                offset[hit] = self.at[size][e[taken]]
+            n[at] = np.minimum(size, self.window - offset[at])
+        return sequence, offset, n
+
+
+def _rows(p: Plan, b: pa.RecordBatch, window: int) -> list[np.ndarray]:
+    """The columns of SCHEMA but the first for a batch of pieces, and before them the row of the batch that each is of."""
+    part, total, first, left, nth, ahead = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "doc_tokens", "first_own", "left", "nth", "before"))
+    own = b.column("own")
+    many = np.diff(own.offsets.to_numpy()).astype(np.int64)
+    of = np.repeat(np.arange(len(b)), many)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    whole = [of, i * window, np.full(len(of), window), own.flatten().to_numpy(), total[of], OWN + (part[of] << 36) + first[of] + i, np.zeros(len(of), np.int64)]
+
+    rest = np.flatnonzero(left > 0)
+    sequence, offset, n = p.places(left[rest], nth[rest] + ahead[rest])
+    start = total[rest] - left[rest]
+    cut = np.flatnonzero(n < left[rest])
+    pieces = b.column("piece")
+    data = np.frombuffer(pieces.buffers()[2], "<u2") if pieces.buffers()[2] else np.empty(0, "<u2")
+    at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(b)][rest].astype(np.int64) // 2
+    ids = memoryview(data.astype("<u4").tobytes())
+    sums = lambda a, k: np.array([zlib.crc32(ids[4 * x : 4 * (x + y)]) for x, y in zip(a.tolist(), k.tolist())], np.int64)
+    head = [rest, start, n, sums(at, n), total[rest], sequence, offset]
+    more = left[rest][cut] - n[cut]
+    tail = [rest[cut], start[cut] + n[cut], more, sums(at[cut] + n[cut], more), total[rest][cut], sequence[cut] + 1, np.zeros(len(cut), np.int64)]
+    return [np.concatenate(c) for c in zip(whole, head, tail)]
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
@@ -252,20 +264,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     placed = tokens.join(before, ["part", "left"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = plan.value
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, part, total, first, own, left, nth, piece, ahead in zip(*(c.to_pylist() for c in b.columns)):
-                rows = [(doc, i * window, window, c, total, OWN + (part << 36) + first + i, 0) for i, c in enumerate(own)]
-                if left:
-                    start, ids = total - left, np.frombuffer(piece, "<u2")
-                    for sequence, offset, n in p.places(left, nth + ahead):
-                        rows.append((doc, start, n, crc(ids[:n]), total, sequence, offset))
-                        start, ids = start + n, ids[n:]
-                for row in rows:
-                    for c, v in zip(cols, row):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], SCHEMA.replace(" long", "").split(", "))
+            of, *cols = _rows(plan.value, b, window)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of)), *(pa.array(c, pa.int64()) for c in cols)], SCHEMA.replace(" long", "").split(", "))
 
     return placed.select("doc_id", "part", "doc_tokens", "first_own", "own", "left", "nth", "piece", "before").mapInArrow(run, SCHEMA)
 

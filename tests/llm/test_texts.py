@@ -1,7 +1,9 @@
 """op2, op3, op9, op10: text by text, against the libraries or a plain reading of the contract."""
 
+import functools
 import hashlib
 import itertools
+import random
 import re
 import struct
 import time
@@ -11,7 +13,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loglake.llm import media, packing, progressive, secrets, sentencepieces
+from loglake.llm import media, packing, progressive, registry, secrets, sentencepieces
 
 from .conftest import AWKWARD, LONG
 
@@ -242,32 +244,49 @@ def test_tensor_column(spark):
 # ---- op9 ----
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # with its default settings
-    return t.encode(text, add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # with its default settings
+
+
+def ids_of(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids + [0]
 
 
-def test_chunks_equal_the_tokenizer():
+def test_ids_equal_the_tokenizer():
+    """Also where a text is encoded in parts, cut every few characters."""
     vocabulary = packing.default_vocabulary()
-    t = packing.ChunkTable(vocabulary, 50, packing.added_tokens(vocabulary))
-    odd = ["a\n b", "\nx", "a \n\n  b\n", " \n", "\n", "  ", "don't I'll x 12 34", "a  b", "a b", "<|endoftext|> x"]
-    for x in TEXTS[:-1] + odd:
-        assert np.frombuffer(t.encode_all([x])[0], "<u2").tolist() == ids_of(x)[:-1], x
+    added = packing.added_tokens(vocabulary)
+    odd = ["a\n b", "\nx", "a \n\n  b\n", " \n", "\n", "  ", "don't I'll x 12 34", "a  b", "a\u2003b", "<|endoftext|> x", "a\x1cb ?\x1c \x1d"]
+    for part in (packing.PART, 3):
+        t = packing.Encoder(vocabulary, added, part)
+        for x in TEXTS[:-1] + odd:
+            assert np.frombuffer(t.encode(x), "<u2").tolist() == ids_of(x)[:-1], x
+
+
+def test_ids_equal_the_tokenizer_on_random_texts(spark, tmp_path):
+    """Through the registered query, on a table: white space, NUL, marks, added tokens and parts of them."""
+    r = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\n", "\0", "▁", "ſ", "é", " lead", "x\n", "\t", "中", "\r", "\x85", "　", "1", "</s>", "<0x0A>", "ﬁ", "word", ".", "<|endoftext|>", "<|endof", "'s"]
+    docs = {i: "".join(r.choice(parts) for _ in range(r.randrange(14))) for i in range(3000)}
+    spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, length string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert held(registry.QUERIES["op9_packing"](spark, str(tmp_path)).collect(), docs) < 1024
+    sp = sentencepieces.word_table(sentencepieces.default_model()).sp
+    for row in registry.QUERIES["op2_sentencepiece"](spark, str(tmp_path)).collect():
+        ids = sp.encode(docs[row["doc_id"]], add_bos=True, add_eos=True)
+        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
 def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # with its default settings
     e = "<|endoftext|>"
     docs = dict(enumerate([f"a {e} b", e, e + e, f"x{e}y", f"  {e}  \n", f"a\n{e}\nb c", f"<|{e}|>", "<|endoftext>", f"{e} " * 1500, "no such token"]))
     rows = packing.pack(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), packing.default_vocabulary()).collect()
     for doc, text in docs.items():
-        ids, at = [*t.encode(text, add_special_tokens=False).ids, 0], 0
+        ids, at = ids_of(text), 0
         for r in sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["start"]):
             part = ids[at : at + r["length"]]
             assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(part)}I", *part))), text
@@ -321,9 +340,10 @@ def test_plan_uses_every_piece_once():
     used = defaultdict(set)
     for length in range(1, 64):
         for g in range(counts[length]):
-            for sequence, offset, n in plan.places(length, g):
+            (sequence,), (offset,), (n,) = plan.places(np.array([length]), np.array([g]))
+            for sequence, offset, n in ((sequence, offset, n), (sequence + 1, 0, length - n)):
                 spot = set(range(offset, offset + n))
-                assert not spot & used[sequence] and max(spot) < 64
+                assert not spot & used[sequence] and max(spot, default=0) < 64
                 used[sequence] |= spot
     assert sum(len(s) for s in used.values()) == int((counts * np.arange(64)).sum())
     assert sum(len(s) < 64 for s in used.values()) <= 1 and plan.cut_tokens < 0.1 * (counts * np.arange(64)).sum()

@@ -6,15 +6,18 @@ shared folder and reads it again as the next one's input.
 
 Models are trained inside the stages, on bounded samples of the documents that reach them. Defined cases are those of the
 operators: an empty table passes through as an empty one, a null text is not toxic, has no language (so it goes at the
-language stage), and columns beyond those of documents are carried along until packing.
+language stage), rows that are repeated are copies of each other (one stays), very long texts are taken whole, ties are
+settled by the smallest id, and columns beyond those of documents are carried along until packing.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loglake.llm import jaccard, language, packing, secrets, toxicity
-from loglake.llm.common import materialise, table
+from loglake.llm.common import settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +60,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, name, functools.partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,13 +10,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglake import schema as S
 from loglake.operators.append import running_total
+from loglake.scratch import materialise, temporaries
 
 CHUNK_CAPS = 16
+FAN = 16
+STEPS = "chunk long, upto long, goal long, segments long"
+ENTRIES = "chunk long, wanted long, nth long"
 
 
 def with_offsets(log: DataFrame, size: str = "frame_bytes") -> DataFrame:
-    """log with log_offset: bytes of all records before."""
+    """log with log_offset: bytes of all records before. An append may have told them already."""
+    if "log_offset" in log.columns:
+        return log
     return running_total(log, F.col(size), "log_offset", inclusive=False)
 
 
@@ -34,58 +41,126 @@ def _jumps(off: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     return goal, count
 
 
+def _merged(chunk: int, upto: np.ndarray, goal: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+    """Steps, of those on end that lead alike the last."""
+    last = np.flatnonzero(np.append((goal[1:] != goal[:-1]) | (count[1:] != count[:-1]), True)) if len(upto) else upto
+    return pd.DataFrame({"chunk": chunk, "upto": upto[last], "goal": goal[last], "segments": count[last]})
+
+
 def _summary(cap: int):
     def run(chunk: pd.DataFrame) -> pd.DataFrame:
-        """How a chunk leads from a wanted place (in bytes) to the next one, as steps: both rise together, and few differ."""
+        """How a chunk leads from a wanted place (in bytes) to the next one, as steps: both rise together."""
         off = np.sort(chunk["log_offset"].to_numpy())
-        goal, count = _jumps(off, cap)
-        last = np.flatnonzero(np.append((goal[1:] != goal[:-1]) | (count[1:] != count[:-1]), True))
-        out = pd.DataFrame({"chunk": chunk["chunk"].iloc[0], "upto": off[last], "goal": goal[last], "segments": count[last]})
+        out = _merged(chunk["chunk"].iloc[0], off, *_jumps(off, cap))
         return out[: bisect_left(out["upto"].tolist(), off[0] + cap) + 1]  # no segment before the chunk reaches further
 
     return run
 
 
-def assign(log: DataFrame, cap: int, size: str = "frame_bytes", first_id: int = 0, chunk_caps: int = CHUNK_CAPS) -> DataFrame:
-    """log with segment_id and byte_offset (within the segment).
-
-    Each chunk of chunk_caps * cap bytes tells, for every place a segment might have to begin at, where the chain leaves
-    it: monotone, so a few steps, as chains meet. The driver follows the one real chain over these steps (a few rows for
-    each chunk_caps segments); then every chunk finds its own segments."""
-    cut = with_offsets(log, size).withColumn("chunk", F.floor(F.col("log_offset") / (cap * chunk_caps)).cast("long"))
-    steps = cut.select("chunk", "log_offset").groupBy("chunk").applyInPandas(_summary(cap), "chunk long, upto long, goal long, segments long")
-    wanted, nth, entries = 0, first_id, []
-    by_chunk: dict[int, list] = {}
-    for r in steps.collect():
-        by_chunk.setdefault(r["chunk"], []).append((r["upto"], r["goal"], r["segments"]))
-    for c in sorted(by_chunk):
-        entries.append((c, wanted, nth))
-        own = sorted(by_chunk[c])
-        i = bisect_left([x[0] for x in own], wanted)
-        if i < len(own):
-            wanted, nth = own[i][1], nth + own[i][2]
-    spark = log.sparkSession
-    begun = spark.createDataFrame(entries, "chunk long, wanted long, nth long")
-
-    def place(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values("log_offset", ignore_index=True)
-        off = chunk["log_offset"].to_numpy()
-        at = int(np.searchsorted(off, chunk["wanted"].iloc[0])) if len(off) else 0
-        starts = []
+def _in_order(steps: pd.DataFrame):
+    """(chunk, upto, goal, segments) of each chunk, in order."""
+    steps = steps.sort_values(["chunk", "upto"], ignore_index=True)
+    cuts = np.flatnonzero(np.diff(steps["chunk"].to_numpy(), prepend=-1, append=-1))
+    cols = [steps[c].to_numpy() for c in ("chunk", "upto", "goal", "segments")]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(cols[0][a]), cols[1][a:b], cols[2][a:b], cols[3][a:b]
+
+
+def _composed(steps: pd.DataFrame) -> pd.DataFrame:
+    """The steps of FAN chunks on end as those of one: chains run through, and meet on the way, so that fewer differ."""
+    upto = goal = count = np.empty(0, np.int64)
+    for _, u, g, n in _in_order(steps):
+        at = np.searchsorted(u, goal)
+        hit = at < len(u)
+        count = count + np.where(hit, n[np.minimum(at, len(u) - 1)], 0)
+        goal = np.where(hit, g[np.minimum(at, len(u) - 1)], goal)
+        new = u > (upto[-1] if len(upto) else -1)
+        upto, goal, count = (np.concatenate(x) for x in ((upto, u[new]), (goal, g[new]), (count, n[new])))
+    return _merged(int(steps["chunk"].iloc[0]) // FAN, upto, goal, count)
+
+
+def _followed(steps: pd.DataFrame, wanted: int, nth: int) -> pd.DataFrame:
+    """Where the one real chain enters each chunk: the place wanted, and the number of the segment that begins there."""
+    out = []
+    for c, u, g, n in _in_order(steps):
+        out.append((c, wanted, nth))
+        i = int(np.searchsorted(u, wanted))
+        if i < len(u):
+            wanted, nth = int(g[i]), nth + int(n[i])
+    return pd.DataFrame(out, columns=["chunk", "wanted", "nth"])
+
+
+def _entries(steps: DataFrame, chunks: int, wanted: int, nth: int) -> DataFrame:
+    """_followed() for any number of chunks: groups of FAN are composed until one is left, then entries go down again. A task
+    holds the steps of FAN chunks: at most as many each as records fit a segment."""
+    if chunks <= FAN:
+        return steps.groupBy(F.col("chunk") * 0).applyInPandas(lambda s: _followed(s, wanted, nth), ENTRIES)
+    group = F.floor(F.col("chunk") / FAN).cast("long")
+    above = materialise(steps.groupBy(group).applyInPandas(_composed, STEPS), "steps")
+    entered = _entries(above, -(-chunks // FAN), wanted, nth)
+
+    def down(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return _followed(s, int(e["wanted"].iloc[0]), int(e["nth"].iloc[0])) if len(s) else pd.DataFrame([], columns=["chunk", "wanted", "nth"])
+
+    return steps.withColumn("_group", group).groupBy("_group").cogroup(entered.groupBy("chunk")).applyInPandas(lambda k, s, e: down(k, s.drop(columns="_group"), e), ENTRIES)
+
+
+def _begins(cap: int):
+    def run(key: tuple, chunk: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        """The segments that begin in a chunk."""
+        off = np.sort(chunk["log_offset"].to_numpy())
+        found, at = [], int(np.searchsorted(off, entry["wanted"].iloc[0])) if len(entry) else len(off)
         while at < len(off):
-            starts.append(at)
+            found.append(off[at])
             at = int(np.searchsorted(off, off[at] + cap))
-        mine = np.searchsorted(starts, np.arange(len(off)), "right") - 1
-        chunk["segment_id"] = (chunk["nth"] + mine).astype("int32")
-        chunk["segment_start"] = np.where(mine >= 0, off[np.array(starts or [0])[np.maximum(mine, 0)]], -1)
-        return chunk[["seq_no", "segment_id", "log_offset", "segment_start"]]
-
-    placed = cut.select("chunk", "seq_no", "log_offset").join(begun, "chunk").groupBy("chunk").applyInPandas(place, "seq_no long, segment_id int, log_offset long, segment_start long")
-    # a chunk's records before its first segment belong to the one that was open: its start is the latest known
-    opened = placed.where("segment_start >= 0").groupBy("segment_id").agg(F.min("segment_start").alias("opened"))
-    known = placed.join(opened, "segment_id")
-    found = known.select("seq_no", "segment_id", (F.col("log_offset") - F.col("opened")).alias("byte_offset"))
-    return log.join(found, "seq_no")
+        first = int(entry["nth"].iloc[0]) if len(entry) else 0
+        return pd.DataFrame({"segment_id": np.arange(first, first + len(found)), "opened": np.array(found, np.int64)})
+
+    return run
+
+
+def begun(offsets: DataFrame, cap: int, first_id: int = 0, used: int = 0, chunk_caps: int = CHUNK_CAPS) -> pd.DataFrame:
+    """(segment_id, opened): where in bytes each segment begins, for records at the offsets (log_offset). With `used`, the
+    first segment is there already and holds so many bytes. At most as many rows as segments can have ids."""
+    spark = offsets.sparkSession
+    with temporaries(spark):
+        cut = offsets.select(F.floor(F.col("log_offset") / (cap * chunk_caps)).cast("long").alias("chunk"), "log_offset")
+        steps = materialise(cut.groupBy("chunk").applyInPandas(_summary(cap), STEPS), "steps")
+        last = steps.agg(F.max("chunk")).first()[0]
+        if last is None:
+            return pd.DataFrame({"segment_id": [], "opened": []}, dtype="int64")
+        if last * chunk_caps > 2 * (S.MAX_SEGMENT_ID + 1):  # a segment holds less than two caps
+            raise ValueError(f"the log needs more than {S.MAX_SEGMENT_ID + 1} segments of {cap} bytes")
+        entries = _entries(steps, last + 1, max(cap - used, 0) if used else 0, first_id + bool(used))
+        found = cut.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInPandas(_begins(cap), "segment_id long, opened long")
+        out = found.toPandas().sort_values("opened", ignore_index=True)
+    if used:
+        out = pd.concat([pd.DataFrame({"segment_id": [first_id], "opened": [-used]}), out], ignore_index=True)
+    if len(out) and out["segment_id"].iloc[-1] > S.MAX_SEGMENT_ID:
+        raise ValueError(f"the log needs more than {S.MAX_SEGMENT_ID + 1} segments")
+    return out
+
+
+def assign(log: DataFrame, cap: int, size: str = "frame_bytes", first_id: int = 0, used: int = 0, chunk_caps: int = CHUNK_CAPS) -> DataFrame:
+    """log with segment_id and byte_offset (within the segment), in its own columns and partitions otherwise.
+
+    Each chunk of chunk_caps * cap bytes tells, for every place a segment might have to begin at, where the chain leaves it.
+    These steps compose, so they are reduced as a tree; the one real chain then goes down the tree, and every chunk finds
+    its own segments. A row finds its segment among all begins by bisection: of the row only its offset goes to Python."""
+    placed, told = with_offsets(log, size), "log_offset" in log.columns
+    with temporaries(log.sparkSession):
+        offsets = placed.select("log_offset")
+        begins = begun(offsets if told else materialise(offsets, "offsets"), cap, first_id, used, chunk_caps)
+    shared = log.sparkSession.sparkContext.broadcast((begins["opened"].to_numpy(np.int64), begins["segment_id"].to_numpy(np.int64)))  # MAX_SEGMENT_ID + 1 rows at most
+
+    @F.pandas_udf("segment_id int, byte_offset long")
+    def place(offset: pd.Series) -> pd.DataFrame:
+        opened, ids = shared.value
+        at = np.searchsorted(opened, offset.to_numpy(np.int64), "right") - 1
+        return pd.DataFrame({"segment_id": ids[at].astype(np.int32), "byte_offset": offset.to_numpy(np.int64) - opened[at]})
+
+    found = placed.withColumn("_found", place(F.col("log_offset").cast("long")))
+    return found.select(*log.columns, "_found.segment_id", "_found.byte_offset")
 
 
 def statistics(log: DataFrame, last_write: Column | None = None) -> DataFrame:

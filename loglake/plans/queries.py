@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +10,9 @@ from loglake.operators import backpressure, blocks, consume, ledger, metrics, re
 from loglake.operators.append import running_total, sequence, too_large
 from loglake.plans.catalog import register
 from loglake.plans.tables import CREDIT, LOG_SQL, TEXT_SQL, cents, event_log, segments_sql, table, text_log
+from loglake.scratch import fresh_path
 
-CAP = 65_536
+CAP = 8_192
 BLOCK = 16
 SINKS = ["s0", "s1", "s2"]
 FILTERS = {"json": 1, "msgpack": 2, "protobuf": 3}
@@ -23,7 +22,7 @@ WITH = f"WITH RECURSIVE {LOG_SQL}"
 SEGMENTED = f"{WITH}, {segments_sql('log', CAP)}"
 VALUES = ", ".join(f"('{n}', CAST({'NULL' if s is None else s} AS BIGINT))" for n, s in CURSORS)
 #: Frames that the recovery queries take as corrupt.
-BAD = "event_id % 4099 = 4098"
+BAD = "event_id % 401 = 400"
 
 
 def amount():
@@ -31,7 +30,7 @@ def amount():
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.assign(event_log(spark, sf_dir), CAP)
+    return segments.assign(event_log(spark, sf_dir, offsets=True), CAP)
 
 
 def cursors(spark: SparkSession) -> DataFrame:
@@ -180,7 +179,8 @@ def seek_consumer(spark, sf_dir):
     return consume.seek(segments.statistics(log), log, targets)
 
 
-@register("reset_consumer", f"{SEGMENTED} SELECT consumer, segment_id, first_seq AS seq_no, CAST(0 AS BIGINT) AS byte_offset FROM (VALUES {VALUES}) c(consumer, read), (SELECT * FROM segments WHERE segment_id > 0 ORDER BY segment_id LIMIT 1)")
+@register("reset_consumer", f"""{SEGMENTED}, oldest AS (SELECT * FROM segments WHERE segment_id > 0 ORDER BY segment_id LIMIT 1)
+SELECT consumer, coalesce((SELECT segment_id FROM oldest), 0) AS segment_id, coalesce((SELECT first_seq FROM oldest), 0) AS seq_no, CAST(0 AS BIGINT) AS byte_offset FROM (VALUES {VALUES}) c(consumer, read)""")
 def reset_consumer(spark, sf_dir):
     return consume.reset(segments.statistics(segmented(spark, sf_dir)).where("segment_id > 0"), cursors(spark))
 
@@ -238,9 +238,9 @@ def retention_time(spark, sf_dir):
     return retention.time_based(table_, F.col("now"), F.expr("interval 7 days")).select("segment_id", "last_write")
 
 
-@register("retention_size", f"{SEGMENTED}, counted AS (SELECT *, sum(bytes) OVER () AS total, coalesce(sum(bytes) OVER (ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM segments) SELECT segment_id, bytes FROM counted WHERE total - gone > 150000 AND segment_id < (SELECT max(segment_id) FROM segments)")
+@register("retention_size", f"{SEGMENTED}, counted AS (SELECT *, sum(bytes) OVER () AS total, coalesce(sum(bytes) OVER (ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM segments) SELECT segment_id, bytes FROM counted WHERE total - gone > 30000 AND segment_id < (SELECT max(segment_id) FROM segments)")
 def retention_size(spark, sf_dir):
-    return retention.size_based(segments.statistics(segmented(spark, sf_dir)), 150_000).select("segment_id", "bytes")
+    return retention.size_based(segments.statistics(segmented(spark, sf_dir)), 30_000).select("segment_id", "bytes")
 
 
 def damaged(spark, sf_dir) -> DataFrame:
@@ -268,6 +268,47 @@ def recovery_truncated_bytes(spark, sf_dir):
     return recovery.truncated_bytes(damaged(spark, sf_dir))
 
 
+@register("cursor_clamp", f"""{SEGMENTED}, tail AS (SELECT max(segment_id) AS s, max_by(bytes, segment_id) AS b FROM segments)
+SELECT consumer, CAST(CASE WHEN seg > s OR seg = s AND pos > b THEN s ELSE seg END AS INTEGER) AS segment_id, CAST(CASE WHEN seg > s OR seg = s AND pos > b THEN b ELSE pos END AS BIGINT) AS byte_offset
+FROM tail, (SELECT user_id % 50 AS consumer, max(segment_id) + user_id % 50 % 3 AS seg, max_by(byte_offset, seq_no) * (1 + user_id % 50 % 2 * 1000) AS pos FROM placed GROUP BY user_id % 50)""")
+def cursor_clamp(spark, sf_dir):
+    """Cursors of fifty consumers, some of them past the tail in their segment, some in a segment that is not there."""
+    log = segmented(spark, sf_dir).withColumn("consumer", F.col("user_id") % 50)
+    last = log.groupBy("consumer").agg(F.max("segment_id").alias("s"), F.max_by("byte_offset", "seq_no").alias("b"))
+    held = last.select("consumer", (F.col("s") + F.col("consumer") % 3).cast("int").alias("segment_id"), (F.col("b") * (1 + F.col("consumer") % 2 * 1000)).cast("long").alias("byte_offset"))
+    return consume.start_positions(held, held.select("consumer"), segments.statistics(log), F.lit("from_beginning")).drop("resumed")
+
+
+@register("checkpoint_resume", f"""{SEGMENTED} SELECT segment_id, byte_offset, seq_no, props AS payload FROM placed WHERE segment_id > 1 OR segment_id = 1 AND byte_offset >= (SELECT max(byte_offset) FROM placed WHERE segment_id = 1 AND byte_offset <= 2000)""")
+def checkpoint_resume(spark, sf_dir):
+    """The log written in two appends, the second going on in the middle of the segment the first left, then read from the
+    place of the checkpoint between them."""
+    from loglake.sources.segments import read_checkpoint, write_checkpoint, write_log
+
+    log = segmented(spark, sf_dir).select("segment_id", "byte_offset", "seq_no", F.col("props").cast("binary").alias("payload"), "content_type", "schema_id")
+    path = fresh_path(spark, "log")
+    cut = log.where("segment_id = 1 and byte_offset <= 2000").agg(F.max(F.struct("byte_offset", "seq_no")).alias("at")).first()["at"]
+    before = F.col("seq_no") < cut["seq_no"]
+    write_log(log.where(before), path)
+    write_checkpoint(path, 1, cut["byte_offset"], cut["seq_no"] - 1, 1)
+    write_log(log.where(~before), path, "append", resume=(1, cut["byte_offset"]))
+    (segment, offset, *_), _ = read_checkpoint(path)
+    frames = spark.read.format("loglake").option("path", path).option("start_segment", segment).option("start_offset", offset).load()
+    return frames.where("error_code is null").select("segment_id", "byte_offset", "seq_no", F.col("payload").cast("string").alias("payload"))
+
+
+@register("recovery_of_damaged_files", f"""{SEGMENTED}, bad AS (SELECT seq_no FROM placed WHERE segment_id = 3 ORDER BY seq_no LIMIT 1 OFFSET 5) SELECT p.seq_no, segment_id FROM placed p, bad WHERE p.seq_no < bad.seq_no""")
+def recovery_of_damaged_files(spark, sf_dir):
+    """The frames before the first bad one, read from files of which one had a byte changed."""
+    from loglake.sources.segments import list_segments, patch
+
+    path = _written(spark, sf_dir)
+    frames = spark.read.format("loglake").option("path", path).load()
+    fifth = frames.where("segment_id = 3").orderBy("seq_no").offset(5).select("byte_offset").first()[0]
+    patch(list_segments(path)[3][1], fifth + 24, path)
+    return recovery.valid_prefix(frames).select("seq_no", "segment_id")
+
+
 @register("metrics_totals", "SELECT count(*) AS records_total, CAST(sum(strlen(props)) AS BIGINT) AS bytes_total FROM events")
 def metrics_totals(spark, sf_dir):
     return metrics.write_totals(event_log(spark, sf_dir), "props")
@@ -308,10 +349,13 @@ def spill_replay_order(spark, sf_dir):
     return out.select("sink", "seq_no", F.col("delivery").cast("long"), "spilled")
 
 
-@register("spill_orphans", "SELECT 'c2' AS consumer, 's1' AS sink")
+@register("spill_orphans", f"{WITH}, {ROUTED_SQL} SELECT DISTINCT 'c' || (batch % 5) AS consumer, sink FROM routed WHERE position > 64 AND NOT (batch % 5 < 3 AND sink <> 's1')")
 def spill_orphans(spark, sf_dir):
-    files = spark.createDataFrame([("a", "b-c"), ("a-b", "c"), ("c2", "s1")], "consumer string, sink string")
-    return backpressure.orphans(files, files.where("consumer <> 'c2'"))
+    """Spill files of lanes that overflowed, of five consumers; three of them are registered still, without one sink."""
+    over = backpressure.lane_positions(routed(spark, sf_dir)).where("position > 64")
+    files = over.select(F.concat(F.lit("c"), F.col("batch") % 5).alias("consumer"), "sink").distinct()
+    registered = spark.createDataFrame([(f"c{i}", s) for i in range(3) for s in ("s0", "s2")], "consumer string, sink string")
+    return backpressure.orphans(files, registered)
 
 
 @register("lane_depth", f"{WITH}, {ROUTED_SQL} SELECT sink, count(*) FILTER (WHERE position > 64) AS lane_depth FROM routed GROUP BY sink")
@@ -353,24 +397,10 @@ def ledger_seek_replay(spark, sf_dir):
     return consume.page(event_log(spark, sf_dir), 3, 1000).select("seq_no", "event_id")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder for files a query has to make: in the shared folder of spark.checkpoint.dir, or of our own where it is unset."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="loglake-")
-        atexit.register(shutil.rmtree, shared[7:], True)
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
-
-
 def _written(spark: SparkSession, sf_dir: str) -> str:
     from loglake.sources.segments import write_log
 
-    path = _scratch(spark, "log")
+    path = fresh_path(spark, "log")
     log = segmented(spark, sf_dir).withColumn("payload", F.col("props").cast("binary"))
     write_log(log.select("segment_id", "seq_no", "payload", "content_type", "schema_id"), path)
     return path
@@ -388,13 +418,18 @@ def binary_seek(spark, sf_dir):
     return frames.where("seq_no >= 900").select("segment_id", "seq_no", F.col("payload").cast("string").alias("payload"))
 
 
-@register("crc_valid", f"{WITH} SELECT seq_no, true AS valid FROM log")
+@register("crc_valid", f"{WITH} SELECT seq_no, event_id % 7 <> 3 AND NOT (event_id % 11 = 5 AND strlen(props) > 0) AS valid FROM log")
 def crc_valid(spark, sf_dir):
+    """Every seventh frame has another number in its header than the one its checksum was made of, every eleventh a changed byte
+    in its payload."""
     log = event_log(spark, sf_dir)
     four = lambda n: _le(n, 8)
-    head = F.concat(F.unhex(F.lit("5045434C")), F.unhex(F.lit("0100")), F.unhex(F.lpad(F.hex(F.col("content_type").cast("int")), 2, "0")), F.unhex(F.lit("00")), four(F.col("schema_id")), _le(F.col("seq_no"), 16), four(F.col("payload_length")))
+    head = lambda seq: F.concat(F.unhex(F.lit("5045434C")), F.unhex(F.lit("0100")), F.unhex(F.lpad(F.hex(F.col("content_type").cast("int")), 2, "0")), F.unhex(F.lit("00")), four(F.col("schema_id")), _le(seq, 16), four(F.col("payload_length")))
     payload = F.col("props").cast("binary")
-    made = log.select("seq_no", head.alias("head"), payload.alias("payload"), F.crc32(F.concat(head, payload)).alias("crc"))
+    flip = F.when(F.substring(payload, 1, 1) == F.unhex(F.lit("00")), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))
+    found = F.when((F.col("event_id") % 11 == 5) & (F.octet_length(payload) > 0), F.concat(flip, F.substring(payload, 2, 1 << 30))).otherwise(payload)
+    seq = F.when(F.col("event_id") % 7 == 3, F.col("seq_no") + 1).otherwise(F.col("seq_no"))
+    made = log.select("seq_no", head(seq).alias("head"), found.alias("payload"), F.crc32(F.concat(head(F.col("seq_no")), payload)).alias("crc"))
     return made.select("seq_no", header.crc_valid(F.col("head"), F.col("payload"), F.col("crc")).alias("valid"))
 
 
@@ -407,7 +442,7 @@ def _delivered(spark, sf_dir, route) -> DataFrame:
     """A push consumer run to the tail over the binary log: what its sinks got."""
     from loglake.streaming.pipeline import entries
 
-    path, out = _written(spark, sf_dir), _scratch(spark, "delivered")
+    path, out = _written(spark, sf_dir), fresh_path(spark, "delivered")
     frames = spark.readStream.format("loglake").option("path", path).load()
     routed_ = route(entries(frames)).select("sink", "seq_no", "block_pos", "content_type", F.col("payload").cast("string").alias("payload"))
     q = routed_.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoints/c").option("path", out).trigger(availableNow=True).start()

@@ -36,10 +36,10 @@ def event_kind() -> Column:
     return out
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
     """Events in time order as a log; the payload is props."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", "ts", "value")
-    return append(e, ["ts", "event_id"], "props", event_kind(), F.col("user_id"))
+    return append(e, ["ts", "event_id"], "props", event_kind(), F.col("user_id"), offsets=offsets)
 
 
 def text_log(spark: SparkSession, sf_dir: str) -> DataFrame:

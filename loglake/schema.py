@@ -50,6 +50,7 @@ class Settings:
     durability: str = "batched"
     fsync_interval_ms: int = 100
     lane_capacity: int = 4_096
+    max_batch_bytes: int = 64 << 20
     backpressure: str = "block"
     drain_timeout_ms: int = 30_000
     retention: str = "consumer_gated"

@@ -2,17 +2,20 @@
 
 Options: path (of the log; segments lie in its folder `segments`), and for reading start_segment and start_offset. A read
 has one partition a segment. A stream's offset is a place (segment, offset) that ends on a complete frame, so the partial
-tail of a segment that is being written is left for later; startingOffsets is earliest or latest. Filters on seq_no skip
-segments by their first frame. Files are reached through Arrow's file systems, by any uri these know.
+tail of a segment that is being written is left for later; startingOffsets is earliest or latest; maxBytesPerTrigger bounds
+a batch, for which a restarted query needs `checkpoint`, its checkpoint folder (not for availableNow, which asks for the end
+once). Filters on seq_no skip segments by their first frame. A write may go on in a segment that is there (resume_segment,
+resume_offset). Files are reached through Arrow's file systems, by any uri these know.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from loglake import schema as S
@@ -118,33 +121,70 @@ class SegmentReader(DataSourceReader):
 class SegmentStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.latest = options["path"], options.get("startingOffsets", "earliest") == "latest"
+        self.start = (int(options["start_segment"]), int(options.get("start_offset", 0))) if "start_segment" in options else None
+        self.most, self.checkpoint = int(options.get("maxBytesPerTrigger", 0)), options.get("checkpoint")
         self.known: tuple[int, int] = (0, 0)
+        self.given: tuple[int, int] | None = None
 
-    def _tail(self) -> dict:
+    def _tail(self) -> tuple[int, int]:
         """The end of the last complete frame; frames that were seen before are not read again."""
         found = list_segments(self.path)
         if not found:
-            return {"segment": 0, "offset": 0}
+            return 0, 0
         segment, file, size = found[-1]
-        start = self.known[1] if self.known[0] == segment else 0
         system, _ = _open(self.path)
-        end = start
         with system.open_input_file(file) as f:
-            for x in wire.frames(f, start, size):
-                if x.error and x.error not in wire.PASSABLE:
-                    break
-                end = x.offset + x.size
-        self.known = (segment, end)
-        return {"segment": segment, "offset": end}
+            self.known = (segment, wire.last_end(f, self.known[1] if self.known[0] == segment else 0, size))
+        return self.known
+
+    def _logged(self) -> tuple[int, int] | None:
+        """The last end in the query's own offset log: where a restarted query goes on."""
+        from pyarrow import fs
+
+        system, root = _open(self.checkpoint)
+        found = system.get_file_info(fs.FileSelector(f"{root}/offsets", allow_not_found=True))
+        names = [int(x.base_name) for x in found if x.base_name.isdigit()]
+        if not names:
+            return None
+        with system.open_input_file(f"{root}/offsets/{max(names)}") as f:
+            at = json.loads(f.read().decode().splitlines()[-1])
+        at = json.loads(at) if isinstance(at, str) else at
+        return at["segment"], at["offset"]
+
+    def _bounded(self, start: tuple[int, int], tail: tuple[int, int]) -> tuple[int, int]:
+        """As far from start towards the tail as maxBytesPerTrigger goes, a frame at least."""
+        system, _ = _open(self.path)
+        at, left = start, self.most
+        for n, file, size in list_segments(self.path):
+            if not start[0] <= n <= tail[0]:
+                continue
+            low, high = start[1] if n == start[0] else 0, tail[1] if n == tail[0] else size
+            if high - low <= left:
+                at, left = (n, high), left - (high - low)
+                continue
+            if at == start or left > 0:
+                with system.open_input_file(file) as f:
+                    to = wire.last_end(f, low, high, left)
+                if at == start or to - low <= left:
+                    at = (n, to if to > low else high)  # nothing readable is passed as a whole
+            break
+        return max(at, start)
 
     def initialOffset(self) -> dict:
-        if self.latest:
-            return self._tail()
         found = list_segments(self.path)
-        return {"segment": found[0][0] if found else 0, "offset": 0}
+        first = found[0][0] if found else 0
+        self.given = self._tail() if self.latest and self.start is None else max(self.start or (first, 0), (first, 0))
+        return {"segment": self.given[0], "offset": self.given[1]}
 
     def latestOffset(self) -> dict:
-        return self._tail()
+        tail = self._tail()
+        if self.most:
+            if self.given is None:
+                if self.checkpoint is None:
+                    raise ValueError("maxBytesPerTrigger needs the option checkpoint to go on after a restart")
+                self.given = self._logged() or (0, 0)
+            tail = self.given = max(self._bounded(self.given, tail), self.given)
+        return {"segment": tail[0], "offset": tail[1]}
 
     def partitions(self, start: dict, end: dict):
         a, b = (start["segment"], start["offset"]), (end["segment"], end["offset"])
@@ -167,13 +207,15 @@ class Written(WriterCommitMessage):
     files: list
 
 
-class SegmentWriter(DataSourceWriter):
+class SegmentWriter(DataSourceArrowWriter):
     """Rows (segment_id, seq_no, payload, content_type, schema_id, flags), each segment within one task in seq order:
-    see write_log(). Files appear under their names when all tasks are done."""
+    see write_log(). Files get their names when all tasks are done; old ones of an overwrite go last, so that a crash on the
+    way leaves either log with its first segments whole. The segment that a write goes on in is copied up to that place."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.names = options["path"], schema.fieldNames()
         self.compression = options.get("compression", "none")
+        self.resume = (int(options.get("resume_segment", -1)), int(options.get("resume_offset", 0)))
         self.overwrite = overwrite
 
     def write(self, iterator):
@@ -183,33 +225,44 @@ class SegmentWriter(DataSourceWriter):
         system.create_dir(f"{root}/segments")
         files, out, current, last = [], None, None, -1
         suffix = f".{TaskContext.get().taskAttemptId()}.tmp"
-        for row in iterator:
-            r = dict(zip(self.names, row))
-            if r["segment_id"] != current:
-                if out:
-                    out.close()
-                current, last = r["segment_id"], -1
-                name = f"{root}/segments/{wire.segment_name(current)}"
-                out = system.open_output_stream(name + suffix)
-                files.append((name + suffix, name))
-            if r["seq_no"] <= last:
-                raise ValueError(f"segment {current}: {r['seq_no']} comes after {last}")
-            last = r["seq_no"]
-            out.write(wire.encode_frame(bytes(r["payload"]), last, r.get("content_type") or 0, r.get("schema_id") or 0, (r.get("flags") or 0) & S.FLAG_BLOCK, self.compression))
+        try:
+            for batch in iterator:
+                cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+                given = dict(zip(batch.schema.names, cols))
+                none = [0] * batch.num_rows
+                for segment, seq, payload, kind, schema, flags in zip(given["segment_id"], given["seq_no"], given["payload"], *(given.get(c, none) for c in ("content_type", "schema_id", "flags"))):
+                    if segment != current:
+                        if out:
+                            out.close()
+                        current, last = segment, -1
+                        name = f"{root}/segments/{wire.segment_name(current)}"
+                        out = system.open_output_stream(name + suffix)
+                        files.append((name + suffix, name))
+                        if current == self.resume[0]:
+                            _copy(system, name, out, self.resume[1])
+                    if seq <= last:
+                        raise ValueError(f"segment {current}: {seq} comes after {last}")
+                    last = seq
+                    out.write(wire.encode_frame(payload, last, kind or 0, schema or 0, (flags or 0) & S.FLAG_BLOCK, self.compression))
+        except BaseException:
+            if out:
+                out.close()
+            for temporary, _ in files:
+                system.delete_file(temporary)
+            raise
         if out:
             out.close()
         return Written(files)
 
     def commit(self, messages):
         system, _ = _open(self.path)
-        fresh = {name for m in messages if m for _, name in m.files}
-        if self.overwrite:
-            for _, file, _ in list_segments(self.path):
-                if file not in fresh:
-                    system.delete_file(file)
-        for m in messages:
-            for temporary, name in m.files if m else ():
-                system.move(temporary, name)
+        before = list_segments(self.path) if self.overwrite else []
+        fresh = {name: temporary for m in messages if m for temporary, name in m.files}
+        for name in sorted(fresh):
+            system.move(fresh[name], name)
+        for _, file, _ in reversed(before):
+            if file not in fresh:
+                system.delete_file(file)
 
     def abort(self, messages):
         system, _ = _open(self.path)
@@ -218,6 +271,13 @@ class SegmentWriter(DataSourceWriter):
                 system.delete_file(temporary)
 
 
+def _copy(system, name: str, out, size: int) -> None:
+    with system.open_input_stream(name) as f:
+        while size and (part := f.read(min(size, BATCH_BYTES))):
+            out.write(part)
+            size -= len(part)
+
+
 class SegmentSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -241,12 +301,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegmentSource)
 
 
-def write_log(log: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
-    """Writes a log with segment_id as segment files: a segment is written by one task, in seq order."""
+def write_log(log: DataFrame, path: str, mode: str = "overwrite", compression: str = "none", resume: tuple[int, int] | None = None) -> None:
+    """Writes a log with segment_id as segment files: a segment is written by one task, in seq order. resume: a segment that
+    is there, and the place in it after which its new records come."""
     register(log.sparkSession)
     columns = [c for c in ("segment_id", "seq_no", "payload", "content_type", "schema_id", "flags") if c in log.columns]
     dealt = log.select(*columns).repartition("segment_id").sortWithinPartitions("segment_id", "seq_no")
-    dealt.write.format("loglake").mode(mode).option("path", path).option("compression", compression).save()
+    w = dealt.write.format("loglake").mode(mode).option("path", path).option("compression", compression)
+    if resume is not None:
+        w = w.option("resume_segment", resume[0]).option("resume_offset", resume[1])
+    w.save()
 
 
 def read_checkpoint(path: str) -> tuple[tuple[int, int, int, int] | None, str | None]:
@@ -274,6 +338,33 @@ def _bytes(path: str, name: str) -> bytes | None:
         return None
 
 
+def delete_folder(path: str, name: str) -> None:
+    """Deletes a folder of the log; one that is not there is no failure."""
+    system, root = _open(path)
+    try:
+        system.delete_dir(f"{root}/{name}")
+    except FileNotFoundError:
+        pass
+
+
+def folders(path: str, name: str) -> list[str]:
+    """The names of the folders in a folder of the log."""
+    from pyarrow import fs
+
+    system, root = _open(path)
+    return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(f"{root}/{name}", allow_not_found=True)) if not f.is_file)
+
+
+def patch(file: str, at: int, path: str) -> None:
+    """Turns over the bits of one byte of a segment file: for tests of what damage does."""
+    system, _ = _open(path)
+    with system.open_input_file(file) as f:
+        data = bytearray(f.read())
+    data[at] ^= 0xFF
+    with system.open_output_stream(file) as f:
+        f.write(bytes(data))
+
+
 def _replace(path: str, name: str, data: bytes) -> None:
     """Written beside, then renamed: a reader sees the old file or the new one."""
     system, root = _open(path)

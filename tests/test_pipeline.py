@@ -37,7 +37,7 @@ def test_append_scan_and_go_on(spark, tmp_path):
         p.append(rows(spark, 5, start=20), ["schema_id"])
         got = p.frames().orderBy("seq_no").collect()
     assert [r["seq_no"] for r in got] == list(range(25)) and all(r["error_code"] is None for r in got)
-    assert bytes(got[24]["payload"]) == b"0024" and got[20]["segment_id"] == got[19]["segment_id"] + 1
+    assert bytes(got[24]["payload"]) == b"0024" and [r["segment_id"] for r in got] == [i // 3 for i in range(25)]
 
 
 def test_source_prunes_and_reports_corruption(spark, tmp_path):
@@ -127,15 +127,17 @@ def test_pull_seek_and_reset(spark, tmp_path):
         p.start()
         assert [r["seq_no"] for r in p.read_next("slow", 1)] == [2]
         p.stop()
+        with pytest.raises(InvalidState):
+            p.seek_consumer("slow", 8)
+        p.register_consumer("slow")
         p.seek_consumer("slow", 8)
         with pytest.raises(IndexError):
             p.seek_consumer("slow", 9999)
-        p.register_consumer("slow")
         p.start()
         assert [r["seq_no"] for r in p.read_next("slow", 5)] == [8, 9] and p.read_next("slow") == []
         p.stop()
-        p.reset_consumer("slow")
         p.register_consumer("slow")
+        p.reset_consumer("slow")
         p.start()
         assert [r["seq_no"] for r in p.read_next("slow", 1)] == [0]
 
@@ -217,15 +219,17 @@ def test_garbage_collection(spark, tmp_path):
 
 
 def test_recovery_after_a_cut_tail(spark, tmp_path):
-    s = filled(spark, tmp_path, 6)
+    s = filled(spark, tmp_path, 6, cap=1 << 20)
     last = source.list_segments(str(tmp_path))[-1]
     with open(last[1], "r+b") as f:
         f.truncate(last[2] - 3)
     with LogPipeline(spark, s) as p:
-        assert p.recovered() == {"next_seq": 5, "truncated_bytes": 29}
+        os.remove(tmp_path / "checkpoint.dat")
+        assert p.recovered() == {"segment": 0, "offset": 160, "next_seq": 5, "truncated_bytes": 29}
         p.start()
+        assert p.meter.gauge("recovery.truncated_bytes") == 29 and p.meter.count("recovery.count") == 1 and p.meter.gauge("recovery.duration") > 0
         p.append(rows(spark, 2, start=50), ["schema_id"])
-        assert [r["seq_no"] for r in p.frames().where("error_code is null").orderBy("seq_no").collect()] == list(range(7))
+        assert [(r["seq_no"], r["error_code"]) for r in p.frames().orderBy("seq_no").collect()] == [(i, None) for i in range(7)]
 
 
 def test_drain_timeout(spark, tmp_path):
@@ -250,7 +254,137 @@ def test_full_lanes_drop(spark, tmp_path):
         p.add_sink("c", "s", got)
         p.start()
         p.stop()
-        assert [x[0] for x in got.rows] == [0, 1, 2, 3] and p.dropped == {("c", "s"): 6}
+        assert [x[0] for x in got.rows] == [0, 1, 2, 3] and p.dropped == {("c", "s"): 6} and p.meter.count("sink.dropped_total", sink="s") == 6
+
+
+def test_full_lanes_spill_and_keep_their_order(spark, tmp_path):
+    filled(spark, tmp_path, 10)
+    (tmp_path / "spill" / "gone-s").mkdir(parents=True)
+    got, seen = Collected(), []
+
+    def sink(batch, batch_id):
+        seen.append(os.listdir(tmp_path / "spill"))
+        got(batch, batch_id)
+
+    with LogPipeline(spark, Settings(str(tmp_path), backpressure="spill", lane_capacity=4)) as p:
+        p.register_consumer("c")
+        p.add_sink("c", "s", sink)
+        p.start()
+        p.stop()
+        assert [x[0] for x in got.rows] == list(range(10)) and p.meter.count("sink.spilled_total", sink="s") == 6
+    assert seen == [["c-s"]] and os.listdir(tmp_path / "spill") == []
+
+
+def test_batches_are_bounded_and_go_on_after_a_restart(spark, tmp_path):
+    filled(spark, tmp_path, 20)
+    sizes, got = [], Collected()
+
+    def sink(batch, batch_id):
+        sizes.append(batch.count())
+        got(batch, batch_id)
+
+    for n in (20, 7):
+        with LogPipeline(spark, Settings(str(tmp_path), max_segment_bytes=96, max_batch_bytes=200, fsync_interval_ms=20)) as p:
+            p.register_consumer("c")
+            p.add_sink("c", "s", sink)
+            p.start()
+            if n == 7:
+                p.append(rows(spark, 7, start=20), ["schema_id"])
+            p.stop()
+    assert [x[0] for x in got.rows] == list(range(27)) and max(sizes) <= 6
+
+
+def test_checkpoint_resume_and_flush(spark, tmp_path):
+    """A start reads past the checkpoint alone: damage before it is not looked at; strict flushes each append."""
+    s = Settings(str(tmp_path), durability="strict")
+    with LogPipeline(spark, s) as p:
+        p.start()
+        p.append(rows(spark, 5), ["schema_id"])
+        assert source.read_checkpoint(str(tmp_path)) == ((0, 160, 4, 0), None) and p.meter.count("flushes") == 1
+        p.append(rows(spark, 3, start=5), ["schema_id"])
+        assert source.read_checkpoint(str(tmp_path))[0] == (0, 256, 7, 0)
+        m = p.metrics()
+        assert (m["loglake.write.records_total"], m["loglake.write.bytes_total"], m["loglake.segment.count"], m["loglake.segment.bytes"]) == (8, 32, 1, 256)
+        assert m["loglake.write.batch_size"] == {"count": 2, "sum": 8, "<8": 1, "<4": 1} and m["loglake.write.fsync_duration"]["count"] == 2
+    (_, file, _), = source.list_segments(str(tmp_path))
+    with open(file, "r+b") as f:
+        f.seek(30)
+        f.write(b"\xff\xff")
+    with LogPipeline(spark, s) as p:
+        p.start()
+        assert p.tail == (0, 256, 8) and p.meter.gauge("recovery.truncated_bytes") == 0
+        p.append(rows(spark, 1, start=8), ["schema_id"])
+        assert p.frames((0, 256)).first()["seq_no"] == 8
+        p.force_stop()
+    (tmp_path / "checkpoint.dat").write_bytes(b"broken")
+    with LogPipeline(spark, s) as p:  # without a checkpoint everything is read
+        p.start()
+        assert p.meter.gauge("recovery.truncated_bytes") == 288 and p.tail[2] == 9
+
+
+def test_durability_none_flushes_at_the_stop(spark, tmp_path):
+    with LogPipeline(spark, Settings(str(tmp_path), durability="none")) as p:
+        p.start()
+        p.append(rows(spark, 2), ["schema_id"])
+        assert source.read_checkpoint(str(tmp_path))[1] == "CheckpointMissing"
+        p.flush()
+        assert source.read_checkpoint(str(tmp_path))[0] == (0, 64, 1, 0)
+
+
+def test_a_cursor_past_the_tail_is_moved_back(spark, tmp_path):
+    s = filled(spark, tmp_path, 4)
+    source.write_cursor(str(tmp_path), "c", 99, 0, 5000)
+    with LogPipeline(spark, s) as p:
+        p.register_consumer("c")
+        p.start()
+        assert p.read_next("c", 9) == []
+        p.append(rows(spark, 2, start=4), ["schema_id"])
+        assert [r["seq_no"] for r in p.read_next("c", 9)] == [4, 5] and p.metrics()["loglake.consumer.lag{consumer=c}"] == 0
+
+
+def test_push_consumers_seek_and_reset(spark, tmp_path):
+    s = filled(spark, tmp_path, 10)
+    for place, want in ((None, 0), (lambda p: p.seek_consumer("c", 7), 7), (lambda p: p.reset_consumer("c"), 0)):
+        got = Collected()
+        with LogPipeline(spark, s) as p:
+            p.register_consumer("c")
+            p.add_sink("c", "s", got)
+            if place:
+                place(p)
+            p.start()
+            p.stop()
+        assert [x[0] for x in got.rows] == list(range(want, 10))
+
+
+def test_a_router_of_ones_own(spark, tmp_path):
+    s = filled(spark, tmp_path, 6)
+    low, high = Collected(), Collected()
+    halves = lambda batch, sinks: batch.withColumn("sink", F.when(F.col("seq_no") < 2, sinks[0]).otherwise(sinks[1]))
+    with LogPipeline(spark, s) as p:
+        p.register_consumer("c")
+        p.add_sink("c", "low", low, router=halves)
+        p.add_sink("c", "high", high, router=halves)
+        with pytest.raises(InvalidState):
+            p.add_sink("c", "x", low)
+        p.start()
+        p.stop()
+    assert [x[0] for x in low.rows] == [0, 1] and [x[0] for x in high.rows] == [2, 3, 4, 5]
+
+
+def test_garbage_is_collected_by_the_clock_and_dispose_is_idempotent(spark, tmp_path):
+    import time
+
+    filled(spark, tmp_path, 20)
+    p = LogPipeline(spark, Settings(str(tmp_path), max_segment_bytes=96, retention="size_based", retention_max_bytes=200, gc_interval_ms=100))
+    p.start()
+    until = time.time() + 30
+    while p.meter.count("segment.deleted") < 5 and time.time() < until:
+        time.sleep(0.2)
+    assert len(source.list_segments(str(tmp_path))) == 2 and p.meter.count("gc.failed") == 0
+    p.dispose()
+    p.dispose()
+    with pytest.raises(InvalidState):
+        p.start()
 
 
 def test_cursor_flush_policy():

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loglake import scratch
 from loglake.llm import common, components, jaccard, registry, url_filter
 from loglake.llm.common import materialise
 
@@ -208,7 +209,7 @@ def test_no_folder_of_one_machine_on_a_cluster():
             master = "local-cluster[2,1,1024]"
 
     with pytest.raises(RuntimeError):
-        common.shared_dir(Session)
+        scratch.shared_dir(Session)
 
 
 @pytest.mark.parametrize("least", [3, 10_000])

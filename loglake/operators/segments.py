@@ -15,6 +15,7 @@ from loglake.operators.append import running_total
 from loglake.scratch import materialise, temporaries
 
 CHUNK_CAPS = 16
+CHUNK_BYTES = 32 << 20
 FAN = 16
 STEPS = "chunk long, upto long, goal long, segments long"
 ENTRIES = "chunk long, wanted long, nth long"
@@ -119,17 +120,18 @@ def _begins(cap: int):
     return run
 
 
-def begun(offsets: DataFrame, cap: int, first_id: int = 0, used: int = 0, chunk_caps: int = CHUNK_CAPS) -> pd.DataFrame:
+def begun(offsets: DataFrame, cap: int, first_id: int = 0, used: int = 0, chunk_bytes: int | None = None) -> pd.DataFrame:
     """(segment_id, opened): where in bytes each segment begins, for records at the offsets (log_offset). With `used`, the
     first segment is there already and holds so many bytes. At most as many rows as segments can have ids."""
     spark = offsets.sparkSession
+    size = chunk_bytes or max(cap * CHUNK_CAPS, CHUNK_BYTES)
     with temporaries(spark):
-        cut = offsets.select(F.floor(F.col("log_offset") / (cap * chunk_caps)).cast("long").alias("chunk"), "log_offset")
+        cut = offsets.select(F.floor(F.col("log_offset") / size).cast("long").alias("chunk"), "log_offset")
         steps = materialise(cut.groupBy("chunk").applyInPandas(_summary(cap), STEPS), "steps")
         last = steps.agg(F.max("chunk")).first()[0]
         if last is None:
             return pd.DataFrame({"segment_id": [], "opened": []}, dtype="int64")
-        if last * chunk_caps > 2 * (S.MAX_SEGMENT_ID + 1):  # a segment holds less than two caps
+        if last * size > 2 * cap * (S.MAX_SEGMENT_ID + 1):  # a segment holds less than two caps
             raise ValueError(f"the log needs more than {S.MAX_SEGMENT_ID + 1} segments of {cap} bytes")
         entries = _entries(steps, last + 1, max(cap - used, 0) if used else 0, first_id + bool(used))
         found = cut.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInPandas(_begins(cap), "segment_id long, opened long")
@@ -141,16 +143,16 @@ def begun(offsets: DataFrame, cap: int, first_id: int = 0, used: int = 0, chunk_
     return out
 
 
-def assign(log: DataFrame, cap: int, size: str = "frame_bytes", first_id: int = 0, used: int = 0, chunk_caps: int = CHUNK_CAPS) -> DataFrame:
+def assign(log: DataFrame, cap: int, size: str = "frame_bytes", first_id: int = 0, used: int = 0, chunk_bytes: int | None = None) -> DataFrame:
     """log with segment_id and byte_offset (within the segment), in its own columns and partitions otherwise.
 
-    Each chunk of chunk_caps * cap bytes tells, for every place a segment might have to begin at, where the chain leaves it.
+    Each chunk of chunk_bytes (CHUNK_CAPS caps, and CHUNK_BYTES at least, unless given) tells, for every place a segment might have to begin at, where the chain leaves it.
     These steps compose, so they are reduced as a tree; the one real chain then goes down the tree, and every chunk finds
     its own segments. A row finds its segment among all begins by bisection: of the row only its offset goes to Python."""
     placed, told = with_offsets(log, size), "log_offset" in log.columns
     with temporaries(log.sparkSession):
         offsets = placed.select("log_offset")
-        begins = begun(offsets if told else materialise(offsets, "offsets"), cap, first_id, used, chunk_caps)
+        begins = begun(offsets if told else materialise(offsets, "offsets"), cap, first_id, used, chunk_bytes)
     shared = log.sparkSession.sparkContext.broadcast((begins["opened"].to_numpy(np.int64), begins["segment_id"].to_numpy(np.int64)))  # MAX_SEGMENT_ID + 1 rows at most
 
     @F.pandas_udf("segment_id int, byte_offset long")

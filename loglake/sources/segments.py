@@ -1,15 +1,18 @@
 """The binary segment files as a Spark data source: spark.read / readStream / write .format("loglake").
 
-Options: path (of the log; segments lie in its folder `segments`), and for reading start_segment and start_offset. A read
-has one partition a segment. A stream's offset is a place (segment, offset) that ends on a complete frame, so the partial
+Options: path (of the log; segments lie in its folder `segments`), and for reading start_segment and start_offset. A
+partition is one segment, or several small ones on end (of PACK_BYTES at most, counting OPEN_BYTES for the opening of each).
+A stream's offset is a place (segment, offset) that ends on a complete frame, so the partial
 tail of a segment that is being written is left for later; startingOffsets is earliest or latest; maxBytesPerTrigger bounds
 a batch, for which a restarted query needs `checkpoint`, its checkpoint folder (not for availableNow, which asks for the end
-once). Filters on seq_no skip segments by their first frame. A write may go on in a segment that is there (resume_segment,
+once). Filters on seq_no skip segments by their first frame, found by bisection. A write may go on in a segment that is there (resume_segment,
 resume_offset). Files are reached through Arrow's file systems, by any uri these know.
 """
 
 from __future__ import annotations
 
+import functools
+import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +26,9 @@ from loglake.functions import wire
 
 BATCH_ROWS = 4096
 BATCH_BYTES = 8 << 20
+PACK_BYTES = 128 << 20
+OPEN_BYTES = 4 << 20
+READ_BYTES = 1 << 20
 
 
 def _open(path: str):
@@ -41,23 +47,32 @@ def list_segments(path: str) -> list[tuple[int, str, int]]:
 
 
 @dataclass
-class Span(InputPartition):
+class Span:
     segment: int
     file: str
     start: int
     end: int
 
-    def __init__(self, segment: int, file: str, start: int, end: int):
-        super().__init__(segment)
-        self.segment, self.file, self.start, self.end = segment, file, start, end
+
+def packed(spans: list[Span]) -> list[InputPartition]:
+    """Partitions of spans on end; one without any for an empty read."""
+    out, size = [[]], 0
+    for x in spans:
+        cost = x.end - x.start + OPEN_BYTES
+        if out[-1] and size + cost > PACK_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(x)
+        size += cost
+    return [InputPartition(x) for x in out]
 
 
 def _row(segment: int, f: wire.Frame) -> tuple:
     return (segment, f.offset, f.seq_no, f.version, f.flags, f.content_type, f.schema_id, f.payload_length, f.payload, f.size, f.error)
 
 
-def _batches(path: str, span: Span, keep) -> Iterator:
-    """Arrow batches of a span's frames, bounded by rows and bytes."""
+def _batches(path: str, spans: list[Span], keep) -> Iterator:
+    """Arrow batches of the spans' frames, bounded by rows and bytes."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -68,14 +83,15 @@ def _batches(path: str, span: Span, keep) -> Iterator:
     def out():
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-    with system.open_input_file(span.file) as f:
-        for x in wire.frames(f, span.start, span.end):
-            if x.error or keep(x.seq_no):
-                rows.append(_row(span.segment, x))
-                size += x.size
-            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
-                yield out()
-                rows, size = [], 0
+    for span in spans:
+        with io.BufferedReader(system.open_input_file(span.file), READ_BYTES) as f:
+            for x in wire.frames(f, span.start, span.end):
+                if x.error or keep(x.seq_no):
+                    rows.append(_row(span.segment, x))
+                    size += x.size
+                if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield out()
+                    rows, size = [], 0
     if rows:
         yield out()
 
@@ -103,19 +119,37 @@ class SegmentReader(DataSourceReader):
         magic, version, *_, seq, _n = wire.HEADER.unpack(head)
         return seq if magic == S.RECORD_MAGIC and version == S.VERSION else None
 
+    def _within(self, found: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+        """The segments that may have numbers from low to high. Their first numbers rise; one that cannot be read tells
+        nothing, and its segment stays unless those around it rule it out."""
+        system, _ = _open(self.path)
+        first = functools.cache(lambda i: self._first_seq(system, found[i][1]))
+
+        def last_upto(bound: int) -> int:
+            best, low, high = -1, 0, len(found)
+            while low < high:
+                at = middle = (low + high) // 2
+                while at >= low and first(at) is None:
+                    at -= 1
+                if at >= low and first(at) > bound:
+                    high = at
+                else:
+                    best, low = max(best, at if at >= low else -1), middle + 1
+            return best
+
+        begin, end = max(last_upto(self.low), 0), last_upto(self.high) + 1
+        while end < len(found) and first(end) is None:
+            end += 1
+        return found[begin:end]
+
     def partitions(self):
         found = [x for x in list_segments(self.path) if x[0] >= self.start[0] and x[2]]
         if self.low > 0 or self.high < (1 << 63) - 1:
-            system, _ = _open(self.path)
-            firsts = [self._first_seq(system, f) for _, f, _ in found]
-            nexts = firsts[1:] + [None]
-            found = [x for x, a, b in zip(found, firsts, nexts) if (a is None or a <= self.high) and (b is None or b > self.low)]
-        return [Span(n, f, self.start[1] if n == self.start[0] else 0, size) for n, f, size in found] or [Span(-1, "", 0, 0)]
+            found = self._within(found)
+        return packed([Span(n, f, self.start[1] if n == self.start[0] else 0, size) for n, f, size in found])
 
     def read(self, partition):
-        if partition.segment < 0:
-            return iter(())
-        return _batches(self.path, partition, lambda seq: seq is not None and self.low <= seq <= self.high)
+        return _batches(self.path, partition.value, lambda seq: seq is not None and self.low <= seq <= self.high)
 
 
 class SegmentStreamReader(DataSourceStreamReader):
@@ -194,12 +228,10 @@ class SegmentStreamReader(DataSourceStreamReader):
                 low, high = a[1] if n == a[0] else 0, b[1] if n == b[0] else size
                 if low < high:
                     spans.append(Span(n, file, low, high))
-        return spans or [Span(-1, "", 0, 0)]
+        return packed(spans)
 
     def read(self, partition):
-        if partition.segment < 0:
-            return iter(())
-        return _batches(self.path, partition, lambda seq: seq is not None)
+        return _batches(self.path, partition.value, lambda seq: seq is not None)
 
 
 @dataclass

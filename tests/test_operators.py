@@ -35,7 +35,7 @@ def test_soft_cap(spark, sizes, cap, want):
 def test_segments_equal_the_fold(spark, chunk_caps):
     r = random.Random(chunk_caps)
     sizes = [r.choice([0, 3, 50, 400, 5000]) for _ in range(700)]
-    got = segments.assign(log_of(spark, sizes), 900, chunk_caps=chunk_caps).orderBy("seq_no").collect()
+    got = segments.assign(log_of(spark, sizes), 900, chunk_bytes=900 * chunk_caps).orderBy("seq_no").collect()
     assert [(x["segment_id"], x["byte_offset"]) for x in got] == fold(sizes, 900)
 
 

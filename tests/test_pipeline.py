@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,13 +41,36 @@ def test_append_scan_and_go_on(spark, tmp_path):
     assert bytes(got[24]["payload"]) == b"0024" and [r["segment_id"] for r in got] == [i // 3 for i in range(25)]
 
 
+def test_small_segments_share_a_partition():
+    spans = [source.Span(i, "", 0, n) for i, n in enumerate([100] * 50 + [source.PACK_BYTES * 2, 100])]
+    got = [p.value for p in source.packed(spans)]
+    assert [x for p in got for x in p] == spans and source.packed([])[0].value == []
+    assert [len(p) for p in got] == [31, 19, 1, 1]
+
+
+def test_bisection_keeps_what_reading_every_first_number_keeps():
+    r = random.Random(5)
+    for _ in range(2000):
+        firsts = sorted(r.sample(range(1, 60), r.randrange(0, 12)))
+        seen = [None if r.random() < 0.3 else n for n in firsts]
+        reader = source.SegmentReader({"path": "/"})
+        reader._first_seq = lambda _, file: seen[file]
+        reader.low, reader.high = r.randrange(-1, 62), r.randrange(-1, 62)
+        kept = [i for i, *_ in reader._within([(i, i, 1) for i in range(len(seen))])]
+        nexts = firsts[1:] + [1 << 62]
+        need = {i for i, (a, b) in enumerate(zip(firsts, nexts)) if a <= reader.high and b > reader.low and reader.low <= reader.high}
+        assert need <= set(kept)
+        if None not in seen and need:
+            assert need == set(kept)
+
+
 def test_source_prunes_and_reports_corruption(spark, tmp_path):
     filled(spark, tmp_path)
     frames = spark.read.format("loglake").option("path", str(tmp_path)).load()
     assert [r["seq_no"] for r in frames.where("seq_no >= 17").orderBy("seq_no").collect()] == [17, 18, 19]
     reader = source.SegmentReader({"path": str(tmp_path)})
     reader.low = 17
-    assert [p.segment for p in reader.partitions()] == [5, 6]
+    assert [x.segment for p in reader.partitions() for x in p.value] == [5, 6]
     files = source.list_segments(str(tmp_path))
     with open(files[-1][1], "r+b") as f:
         f.seek(-4, os.SEEK_END)

@@ -127,13 +127,17 @@ def begun(offsets: DataFrame, cap: int, first_id: int = 0, used: int = 0, chunk_
     size = chunk_bytes or max(cap * CHUNK_CAPS, CHUNK_BYTES)
     with temporaries(spark):
         cut = offsets.select(F.floor(F.col("log_offset") / size).cast("long").alias("chunk"), "log_offset")
-        steps = materialise(cut.groupBy("chunk").applyInPandas(_summary(cap), STEPS), "steps")
-        last = steps.agg(F.max("chunk")).first()[0]
+        last = cut.agg(F.max("chunk")).first()[0]
         if last is None:
             return pd.DataFrame({"segment_id": [], "opened": []}, dtype="int64")
         if last * size > 2 * cap * (S.MAX_SEGMENT_ID + 1):  # a segment holds less than two caps
             raise ValueError(f"the log needs more than {S.MAX_SEGMENT_ID + 1} segments of {cap} bytes")
-        entries = _entries(steps, last + 1, max(cap - used, 0) if used else 0, first_id + bool(used))
+        wanted, nth = max(cap - used, 0) if used else 0, first_id + bool(used)
+        if last:
+            steps = materialise(cut.groupBy("chunk").applyInPandas(_summary(cap), STEPS), "steps")
+            entries = _entries(steps, last + 1, wanted, nth)
+        else:  # where one chunk is entered needs no steps
+            entries = spark.createDataFrame([(0, wanted, nth)], ENTRIES)
         found = cut.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInPandas(_begins(cap), "segment_id long, opened long")
         out = found.toPandas().sort_values("opened", ignore_index=True)
     if used:
@@ -166,8 +170,10 @@ def assign(log: DataFrame, cap: int, size: str = "frame_bytes", first_id: int =
 
 
 def statistics(log: DataFrame, last_write: Column | None = None) -> DataFrame:
-    """One row a segment: first and last seq, bytes, records, whether it is the active (last) one."""
+    """One row a segment: first and last seq, bytes, records, whether it is the active (last) one. Written, as its callers
+    read it more than once, and each time would read the whole log."""
     extra = [] if last_write is None else [F.max(last_write).alias("last_write")]
     out = log.groupBy("segment_id").agg(F.min("seq_no").alias("first_seq"), F.max("seq_no").alias("last_seq"), F.sum("frame_bytes").alias("bytes"), F.count("*").alias("records"), *extra)
+    out = materialise(out, "statistics")  # MAX_SEGMENT_ID + 1 rows at most
     newest = out.agg(F.max("segment_id").alias("_active"))
     return out.crossJoin(F.broadcast(newest)).withColumn("is_active", F.col("segment_id") == F.col("_active")).drop("_active")  # one row

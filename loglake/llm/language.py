@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loglake.llm.common import bounded_texts, bucket_of, raw, slices, table, temporaries, texts, tidy
+from loglake.llm.common import bounded_texts, bucket_of, crowded, materialise, raw, slices, table, temporaries, texts, tidy
 from loglake.llm.kernels import LOWER
 
 ORDER = 3
@@ -42,6 +42,7 @@ MOST_LANDMARKS = 512
 SAMPLE = 3000
 SAMPLE_BYTES = 16 << 20
 OF_ONE = 999
+SPARE = 4  # times OF_ONE ids of a crowded language are expected to be ordered
 RIDGE = 0.1
 FOLDS = 4
 UND = "und"
@@ -241,10 +242,14 @@ def _familiarity(of: np.ndarray, number: np.ndarray, y: np.ndarray, fold: np.nda
 
 
 def sampled(docs: DataFrame, sample: int = SAMPLE, keep=None) -> DataFrame:
-    """(doc_id, text, lang) of the training sample."""
+    """(doc_id, text, lang) of the training sample. Of a crowded language only ids of low hash are ordered: as many as give
+    SPARE times OF_ONE of them, with a chance of about 1e-700 to give fewer than OF_ONE."""
     known = docs.select("doc_id", "text", "lang").dropna()
     ids = known if keep is None else known.where(keep)
-    ids = ids.groupBy("doc_id").agg(F.min("lang").alias("_of")).withColumn("_h", F.xxhash64("doc_id"))
+    ids = materialise(ids.groupBy("doc_id").agg(F.min("lang").alias("_of")), "ids").withColumn("_h", F.xxhash64("doc_id"))
+    hot = F.broadcast(crowded(ids, "_of").withColumnRenamed("n", "_many"))  # fewer than common.CROWDED
+    low = (F.col("_h").cast("double") + 2.0**63) / 2.0**64 * F.col("_many") < SPARE * OF_ONE
+    ids = ids.join(hot, "_of", "left").where(F.col("_many").isNull() | low).drop("_many")
     # the first of each language, in two levels: of each of 256 shares of it, then of what these leave
     for by in (("_of", F.pmod("_h", F.lit(256))), ("_of",)):
         ids = ids.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_n") <= OF_ONE)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loglake.llm import boosting, language, quality_model, quality_rules, toxicity
+from loglake.llm import boosting, common, language, quality_model, quality_rules, toxicity
 from loglake.llm.common import labelled_sample, raw, texts
 from loglake.llm.kernels import Words
 from loglake.llm.linear import Ftrl
@@ -176,6 +176,18 @@ def test_language_sample_takes_every_language_and_each_id_once(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_language_sample_of_crowded_languages_is_the_first_by_hash(spark, monkeypatch):
+    """Crowded languages are pruned before they are ordered; the sample is the one that a plain reading takes."""
+    monkeypatch.setattr(common, "LEAST_CROWD", 200)
+    monkeypatch.setattr(language, "OF_ONE", 40)
+    ids = [(i, "xx") for i in range(5000)] + [(i, "yy") for i in range(5000, 5400)] + [(i, "zz") for i in range(5400, 5410)]
+    docs = spark.createDataFrame([(i, f"text {i}", x) for i, x in ids], "doc_id long, text string, lang string").repartition(7)
+    got = language.sampled(docs, 1000).collect()
+    hashed = sorted((r["h"], r["doc_id"], r["lang"]) for r in docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect())
+    want = [i for x in ("xx", "yy", "zz") for _, i, _ in [r for r in hashed if r[2] == x][:40]]
+    assert sorted(r["doc_id"] for r in got) == sorted(want) and len(want) == 90
+
+
 def test_labelled_sample_is_not_starved(spark):
     """Labels of unknown documents take no place; an id counts once, with its least text; sizes are bounded."""
     labels = spark.createDataFrame([(i, i % 2) for i in range(5000)] + [(7, 0), (None, 1)], "doc_id long, quality int")
